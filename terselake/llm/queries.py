@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, line_dedup, packing, sharding, simhash
-from .common import read
+from . import ann, decontaminate, html_main, line_dedup, packing, sharding, simhash, toxicity, url_graph, warc
+from .common import read, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,30 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(ship(spark), sf_dir, "documents"))
 
 
+def op2_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(read(spark, sf_dir, "pages"))
+
+
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(ship(spark), sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc.doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(read(ship(spark), sf_dir, "pages"))
+    return found.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(read(ship(spark), sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(ship(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,5 +86,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "text", "lines_removed", "words_removed")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pack, op7_simhash, op8_decontaminate, op9_shard, op10_line_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_pack,
+        op2_link_graph,
+        op3_adaptive_scan,
+        op4_kneser_ney,
+        op5_line_blocks,
+        op6_arc_to_warc,
+        op7_simhash,
+        op8_decontaminate,
+        op9_shard,
+        op10_line_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
