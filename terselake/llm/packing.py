@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
-CACHE = 300_000
+CACHE = 800_000
 _tokenizers: dict[str, tuple] = {}
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian 32-bit bytes; forgets all when full, so its memory is bounded."""
+    """Word to its ids as little-endian 32-bit bytes; when full, forgets the half it met last, the rarer one."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -34,7 +34,8 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE:
-            self.clear()
+            for w in list(self)[CACHE // 2 :]:
+                del self[w]
         new = [w for w in words if w not in self]
         for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             self[w] = np.asarray(e.ids, "<u4").tobytes()
