@@ -15,6 +15,7 @@ from ..operators import embed as E
 from ..operators import rebuild as R
 from ..operators import select as K
 from ..operators.rewrite import rewrite
+from ..scratch import materialise
 from ..sources.config import Config
 from ..sources.ingest import with_protected
 
@@ -72,16 +73,18 @@ def compress(
 ) -> Compression:
     """Compresses ``docs`` (doc_id, name, text), each to its share of tokens.
 
+    Stages are written between one another, since each is read several times by the next.
+
     Without an embedder, similarity, novelty and query relevance are left out and their weights pass to the
     other signals; without ``generate`` nothing is rewritten.
     """
     config = config or Config()
     docs = docs.select("doc_id", "name", "text")
     originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
-    chunks = with_protected(C.chunk(docs, kind), query, instruction)
+    chunks = materialise(with_protected(C.chunk(docs, kind), query, instruction), "chunks")
     asked = None
     if embedder is not None:
-        chunks = E.embed(chunks, embedder)
+        chunks = materialise(E.embed(chunks, embedder), "embedded")
         if query:
             import numpy as np
 
@@ -91,18 +94,20 @@ def compress(
     if embedder is not None:
         similar = config.dedup.similarity if config.dedup.similarity is not None else D.threshold(provider)[0]
     chunks = D.deduplicate(chunks, exact=config.dedup.exact, structural=config.dedup.structural, similar=similar)
-    groups = D.clusters(chunks)
+    chunks = materialise(chunks, "deduplicated")
+    groups = materialise(D.clusters(chunks), "clusters")
     live = chunks.where("leader is null").join(
         groups.select("doc_id", F.col("representative_id").alias("id"), "cluster_id", "absorbed_tokens", F.col("method").alias("_m")), ["doc_id", "id"], "left"
     )
     live = live.drop("leader", "method", "similarity", "root").withColumnRenamed("_m", "method")
-    scored = N.score(live, query=asked, weights=config.density.weights)
+    live = materialise(live, "survivors")
+    scored = materialise(N.score(live, query=asked, weights=config.density.weights), "scored")
     s = config.selection
     if s.repair and s.strategy == "density":
         chosen = K.select_with_repair(scored, originals, ratio=s.ratio, least=s.min_kept, reserve=s.reserve, markers=config.reconstruction.drop_markers)
     else:
         chosen = K.select(scored, originals, ratio=s.ratio, strategy=s.strategy, least=s.min_kept)
-    rewritten, _, why = rewrite(chosen, generate)
+    rewritten, _, why = rewrite(materialise(chosen, "selected"), generate)
     marks = None
     if config.reconstruction.drop_markers or config.reconstruction.cluster_markers:
         marks = R.markers(rewritten, groups, drops=config.reconstruction.drop_markers, collapses=config.reconstruction.cluster_markers)

@@ -19,7 +19,7 @@ from ..operators import select as K
 from ..operators.logs import log_records
 from ..session import ship
 from ..sources import ingest as S
-from .compress import compress
+from .compress import Compression, compress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,9 +368,17 @@ def R1_drop_runs(spark, sf_dir):
     return R.drop_runs(rows).select(F.col("doc_id").alias("source"), F.col("ord").alias("first_doc"), "sections", "tokens")
 
 
-def marked(spark: SparkSession, sf_dir: str):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("notes.md").alias("name"), "text")
-    return compress(docs)
+_runs: dict[tuple[str, str], Compression] = {}
+
+
+def marked(spark: SparkSession, sf_dir: str) -> Compression:
+    """The compression of all documents; its stages are written tables, so one run serves several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _runs:
+        docs = table(spark, sf_dir, "documents")
+        name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+        _runs[key] = compress(docs.select("doc_id", name.alias("name"), "text"))
+    return _runs[key]
 
 
 @query()
@@ -398,8 +406,7 @@ def R12_stage_metrics(spark, sf_dir):
 def compress_by_language(spark, sf_dir):
     """The flagship: every document to 30 % of its tokens, kept and dropped by language."""
     docs = table(spark, sf_dir, "documents")
-    done = compress(docs.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text"))
-    rows = done.summary().join(docs.select("doc_id", "lang"), "doc_id")
+    rows = marked(spark, sf_dir).summary().join(docs.select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(
         F.count("*").alias("documents"), F.sum("original_tokens").alias("original_tokens"), F.sum("compressed_tokens").alias("compressed_tokens"),
         F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"), F.sum("absorbed").alias("absorbed"),
