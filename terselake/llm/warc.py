@@ -158,7 +158,7 @@ def mark_revisits(records: DataFrame, least: int = MIN_DUPLICATE) -> DataFrame:
     first = first.join(several.select("payload_digest"), "payload_digest", "left_semi")
     found = records.join(first, "payload_digest", "left")
     own = (F.col("warc_type") != "response") | (F.col("payload_bytes") < least) | F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return found.withColumn("refers_to", F.when(~own, F.col("refers_to"))).withColumn("refers_id", F.when(~own, F.col("refers_id")))
+    return found.withColumns({c: F.when(~own, F.col(c)) for c in ("refers_to", "refers_id")})
 
 
 def _fields(*pairs: tuple[str, Column]) -> Column:
