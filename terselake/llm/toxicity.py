@@ -11,8 +11,8 @@ scores is two tables of ``SLOTS`` entries, whatever the corpus's size: a gram's
 from its CRC-32, and the more frequent gram keeps a slot that two want.
 
 A document's features are its log ratio per word, over the whole text and over its best window of each
-length in ``WINDOWS``. A logistic fit on at most ``fit_rows`` labelled rows, none of which is in the class
-counts, turns them into a score.
+length in ``WINDOWS``, and how many words stand above each of ``MARKED``. A logistic fit on at most
+``fit_rows`` labelled rows, none of which is in the class counts, turns them into a score.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small
@@ -33,7 +33,8 @@ ORDER = 6
 SLOTS = 1 << 21
 WINDOWS = (1, 3, 8, 32)
 CACHE = 300_000
-FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole", "log_words"]
+MARKED = (2.0, 4.0)
+FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole", "log_words"] + [f"above_{t:g}" for t in MARKED]
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -43,7 +44,7 @@ def tokens(text: str | None) -> list[str]:
 
 def grams(raw: str) -> list[str]:
     """The word's characters, each with its context before it; none for a token without letters or digits."""
-    word = _EDGE.sub("", raw)[:200]
+    word = _EDGE.sub("", raw)
     if not word:
         return []
     w = f"^{word}$"
@@ -186,7 +187,8 @@ def features(words: list[str], ratio: WordRatios) -> list[float]:
         n = min(n, len(v))
         out.append(float((sums[n:] - sums[:-n]).max() / n))
     out.append(float(np.sort(v)[-3:].sum() / 3))
-    return out + [float(v.mean()), float(np.log1p(len(v)))]
+    out += [float(v.mean()), float(np.log1p(len(v)))]
+    return out + [float(np.log1p((v > t).sum())) for t in MARKED]
 
 
 def with_features(docs: DataFrame, seen, context, keep: list[str]) -> DataFrame:
