@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small
 
 #: Fixed values of the two formats.
 ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -155,7 +155,8 @@ def mark_revisits(records: DataFrame, least: int = MIN_DUPLICATE) -> DataFrame:
     )
     # Only digests that more than one row holds matter; the join side shrinks to those.
     several = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count("*").alias("n")).where("n > 1")
-    first = first.join(several.select("payload_digest"), "payload_digest", "left_semi")
+    # They are mostly few: then payloads need no shuffle.
+    first = small(materialise(first.join(several.select("payload_digest"), "payload_digest", "left_semi"), "firsts"))
     found = records.join(first, "payload_digest", "left")
     own = (F.col("warc_type") != "response") | (F.col("payload_bytes") < least) | F.col("page_id").eqNullSafe(F.col("refers_to"))
     return found.withColumns({c: F.when(~own, F.col(c)) for c in ("refers_to", "refers_id")})
