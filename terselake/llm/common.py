@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The largest table that an operator hands to every executor; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: A key that more rows share is joined by broadcast.
+HOT_ROWS = 1000
 
 _scope = ["session"]
 _written: dict[str, list[str]] = defaultdict(list)
@@ -77,6 +79,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` (key, n, ...), which has a row per key and how many of ``rows`` hold it.
+
+    Keys of more than ``HOT_ROWS`` rows, or a millionth of the ``total``, are joined by broadcast: fewer than
+    1,000,000 at any size. So a hot key's rows stay spread as they are, and the shuffle sees only the others.
+    """
+    limit = max(HOT_ROWS, total // 1_000_000)
+    hot = F.broadcast(counted.where(F.col("n") > limit).drop("n"))
+    rest = counted.where(F.col("n") <= limit).drop("n")
+    cold = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(rest, key))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once and hands it to ``body``, so that lambdas inside don't evaluate it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)

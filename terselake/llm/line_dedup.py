@@ -7,7 +7,7 @@ one of its lines has ``WORDS`` words, or two grams lie in it whole.
 
 Fingerprints are joined on position by aggregation: the first place in document order is found with a
 map-side combine and every later place is joined to it, so a line that a third of all documents hold makes
-a row per place, never pairs. Matches are extended both ways by the lines that no fingerprint need cover:
+a row per place, never pairs, and is joined by broadcast. Matches are extended both ways by the lines that no fingerprint need cover:
 for each place the hashes of the gram with the lines after it, one more at a time, and with the line
 before it. Lines of a later place are deleted, those of the first stay.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import join_counted, let, materialise
 
 WORDS = 25
 SPACE = " \t\r\x0b\x0c"
@@ -120,13 +120,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         ).select("doc_id", "text_hash", "p.key", "p.at", "p.to"),
         "places",
     )
-    first = (
+    first = materialise(
         places.groupBy("key")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "at", "to")).alias("first"))
-        .where("n > 1")
-        .select("key", "first")
+        .where("n > 1"),
+        "firsts",
     )
-    later = places.join(first, "key").where(
+    later = join_counted(places, first, "key", places.count()).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
         | (F.col("at") > F.col("first.to"))
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, join_counted, materialise
 
 RADIUS = 3
 PARTS = ((0, 22), (22, 43), (43, 64))
@@ -135,10 +135,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no rows. Copies share a fingerprint and are one node.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     groups = materialise(components(materialise(links(nodes.select("fp")), "links")), "components")
     named = nodes.join(groups, nodes.fp == groups.node)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = groups.join(least, "root").select(F.col("node").alias("fp"), "component")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    return join_counted(fps, materialise(whole, "whole"), "fp", fps.count()).select("doc_id", "fp", "component_id")
