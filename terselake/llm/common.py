@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The largest table that an operator hands to every executor; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: A key that more rows share is joined by broadcast.
-HOT_ROWS = 1000
+HOT_ROWS = 100
 
 _scope = ["session"]
 _written: dict[str, list[str]] = defaultdict(list)
