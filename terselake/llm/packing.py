@@ -120,13 +120,15 @@ def pack(
     group_tokens: int = 1 << 20,
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Packs ``docs`` (doc_id, text; other columns ignored) and returns a row per piece.
 
     ``ids`` holds the piece's ids, little-endian unsigned 32-bit. A null or empty text is just the end
     id; null doc_ids and repeated rows are packed as documents of their own; an empty table gives no
     rows. ``sequence_id`` is unique over the table: the task's number and a counter. ``tokenizer_path``
-    None means the word-level file of the installed public tokenizers, found on each executor.
+    None means the word-level file of the installed public tokenizers, found on each executor. Workers
+    keep the words they have met for their next task unless ``keep_words`` is false, which frees that memory.
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
@@ -164,5 +166,7 @@ def pack(
                         yield flush()
         if held:
             yield flush()
+        if not keep_words:
+            ids.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -14,8 +14,8 @@ from .common import read, scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs).select(
+def packed(docs: DataFrame, keep_words: bool = True) -> DataFrame:
+    return packing.pack(docs, keep_words=keep_words).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost"
     )
 
