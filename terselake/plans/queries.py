@@ -468,5 +468,92 @@ def P4_hash_embeddings(spark, sf_dir):
     return rows.select("item_id", F.size("vector").alias("dim"), F.round(E.norm(F.col("vector")), 4).alias("norm"))
 
 
+@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS kinds FROM documents")
+def T3_token_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(T.token_list("text"))).cast("long").alias("kinds"))
+
+
+@query(f"SELECT page_id, md5({squeeze_sql('html')}) AS squeezed FROM pages")
+def T6_squeeze(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.squeeze("html").cast("binary")).alias("squeezed"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS pos, CASE WHEN length(text) > 0 THEN 'turn-' || turn ELSE 'talk.txt' END AS source_file FROM conversations")
+def J1_provenance(spark, sf_dir):
+    """The middle of every turn, found again in the ranges of its combined conversation."""
+    files = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("name"), F.lit("done").alias("status"), "text"
+    )
+    ranges = S.source_files(files)
+    middle = ((F.col("start") + F.col("end")) / 2).cast("int").alias("start_char")
+    chunks = ranges.select("doc_id", "pos", middle, F.lit("talk.txt").alias("source"))
+    return S.with_provenance(chunks, ranges).select("doc_id", "pos", "source_file")
+
+
+@query(
+    "SELECT lang, text_id, round(coalesce(ln(n) / nullif(max(ln(n)) OVER (PARTITION BY lang), 0), 0), 6) AS frequency FROM "
+    "(SELECT lang, min(doc_id) AS text_id, count(*) AS n FROM documents GROUP BY lang, text)"
+)
+def N9_frequency(spark, sf_dir):
+    once = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("doc_id"), "text").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("duplicate_count"))
+    return once.select(F.col("doc_id").alias("lang"), "text_id", r6(N.frequency()).alias("frequency"))
+
+
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of their source; the longer a text, the denser, and those of over 1,000 characters are selected."""
+    size = F.length("text")
+    return by_source(spark, sf_dir).withColumns({"density": size.cast("double"), "selected": size > 1000})
+
+
+@query(
+    "SELECT source AS doc_id, CAST(min(length(text)) AS DOUBLE) AS least, median(CAST(length(text) AS DOUBLE)) AS median, CAST(max(length(text)) AS DOUBLE) AS most FROM documents GROUP BY source"
+)
+def N13_score_stats(spark, sf_dir):
+    return N.score_stats(sized(spark, sf_dir))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS INT) AS rank FROM documents")
+def N14_ranked(spark, sf_dir):
+    return N.ranked(sized(spark, sf_dir)).select(F.col("ord").cast("long").alias("doc_id"), "rank")
+
+
+@query(
+    "SELECT doc_id, rank, round(100 * (1 - rank / n), 6) AS percentile FROM (SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS INT) AS rank, "
+    "count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE contains(text, 'on')"
+)
+def N15_grep_rank(spark, sf_dir):
+    return N.grep_rank(sized(spark, sf_dir), "on").select(F.col("ord").cast("long").alias("doc_id"), "rank", r6("percentile").alias("percentile"))
+
+
+@query(
+    "SELECT doc_id, CAST(rank AS INT) AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE length(text) <= 1000) WHERE rank <= 50"
+)
+def K12_audit(spark, sf_dir):
+    return K.audit(sized(spark, sf_dir)).select(F.col("ord").cast("long").alias("doc_id"), "rank")
+
+
+@query(
+    f"SELECT source AS doc_id, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN n > 1000 THEN t ELSE 0 END) AS BIGINT) AS tokens_out, count(*) FILTER (n > 1000) AS kept, count(*) FILTER (n <= 1000) AS dropped, "
+    f"CAST(greatest(1, round_even(sum(t) * 0.3, 0)) AS BIGINT) AS budget FROM (SELECT source, length(text) AS n, {tokens_sql('text')} AS t FROM documents) GROUP BY source"
+)
+def K13_metrics(spark, sf_dir):
+    rows = sized(spark, sf_dir)
+    found = K.metrics(rows, rows.groupBy("doc_id").agg(F.sum("token_count").alias("original_tokens")))
+    return found.select("doc_id", "tokens_in", "tokens_out", "kept", "dropped", F.col("budget").cast("long").alias("budget"))
+
+
+@query(
+    f"SELECT doc_id, CAST(rank AS INT) AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY t DESC, doc_id) AS rank FROM (SELECT source, doc_id, text, {tokens_sql('text')} AS t FROM documents) "
+    "WHERE length(text) > 1000 AND t >= 150) WHERE rank <= 12"
+)
+def K14_rewrite_candidates(spark, sf_dir):
+    return K.rewrite_candidates(sized(spark, sf_dir)).select(F.col("ord").cast("long").alias("doc_id"), "rank")
+
+
+@query()
+def R11_summary(spark, sf_dir):
+    return marked(spark, sf_dir).summary()
+
+
 ORACLES["K4_budget_select"] = budget_sql("n_chars DESC, doc_id", "greatest(1, CAST(floor(greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT)) * 0.97) AS INT))")
 ORACLES["K5_truncate_select"] = budget_sql("doc_id", "greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT))")
