@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terselake.llm import ann, decontaminate, html_main, line_dedup, packing, sharding, simhash, toxicity, url_graph, warc
-from terselake.llm.common import components
+from terselake.llm.common import HOT_ROWS, components, join_counted
 
 A = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -273,6 +273,14 @@ def test_external_shuffle_spreads_evenly(spark):
     assert max(low.values()) < 45 and len(low) == 10
 
 
+def test_join_counted_loses_no_row(spark):
+    rows = spark.range(4 * HOT_ROWS).select("id", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 50).alias("key"))
+    counted = rows.where("key <> 7").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = sorted(map(tuple, join_counted(rows, counted, "key", rows.count()).select("key", "id", "least").collect()))
+    assert found == sorted(map(tuple, rows.join(counted, "key").select("key", "id", "least").collect()))
+    assert counted.where(F.col("n") > HOT_ROWS).count() == 1
+
+
 def test_lines(docs, none):
     rows = line_dedup.dedup_lines(docs).collect()
     assert len(rows) == len(TEXTS)
