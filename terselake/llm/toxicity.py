@@ -7,8 +7,8 @@ expression borrows from its parts, alike in both classes. What the classes share
 a gram that neither class has seen is worth the ratio of the two backoff weights of its context.
 
 Counts are summed in each task over distinct words, then by a shuffle of grams (not tokens). The model that
-scores is two tables of ``SLOTS`` entries, whatever the corpus's size: a gram's slot and 11 check bits come
-from its CRC-32, and the more frequent gram keeps a slot that two want.
+scores holds every gram that a class has seen and every context of one, by its characters, and grows with
+the distinct grams: 32 bytes each in every Python worker.
 
 A document's features are its log ratio per word, over the whole text and over its best window of each
 length in ``WINDOWS``, and how many words stand above each of ``MARKED``. A logistic fit on at most
@@ -18,7 +18,6 @@ length in ``WINDOWS``, and how many words stand above each of ``MARKED``. A logi
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import materialise, small
 
 ORDER = 6
-SLOTS = 1 << 21
 WINDOWS = (1, 3, 8, 32)
 CACHE = 300_000
+#: Words whose ratios are looked up at once.
+GROUP = 50_000
 MARKED = (2.0, 4.0)
 FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole", "log_words"] + [f"above_{t:g}" for t in MARKED]
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -42,12 +42,15 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def grams(raw: str) -> list[str]:
-    """The word's characters, each with its context before it; none for a token without letters or digits."""
+def marked(raw: str) -> str:
+    """The word between its marks; empty for a token without letters or digits."""
     word = _EDGE.sub("", raw)
-    if not word:
-        return []
-    w = f"^{word}$"
+    return f"^{word}$" if word else ""
+
+
+def grams(raw: str) -> list[str]:
+    """The word's characters, each with its context before it."""
+    w = marked(raw)
     return [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
 
 
@@ -117,7 +120,7 @@ def shared_model(counts: DataFrame, discount: float = 0.75) -> DataFrame:
 
 
 def ratios(counts: DataFrame, discount: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, n) of grams that a class has seen, and (gram, ratio, n) of contexts for those it hasn't."""
+    """(gram, ratio) of grams that a class has seen, and (gram, ratio) of contexts for those it hasn't."""
     lower = shared_model(counts, discount).select(F.col("gram").alias("suffix"), F.col("p").alias("shared"))
     top = counts.where("ordinary + toxic > 0").withColumn("context", _head(F.col("gram")))
     sums = [
@@ -129,58 +132,95 @@ def ratios(counts: DataFrame, discount: float = 0.75) -> tuple[DataFrame, DataFr
     p = lambda k: F.when(
         F.col(f"{k}_all") > 0, F.greatest(F.col(k) - discount, F.lit(0.0)) / F.col(f"{k}_all")
     ).otherwise(0.0) + weight(k) * F.col("shared")
-    one = seen.select("gram", (F.log(p("toxic")) - F.log(p("ordinary"))).alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("n"))
-    two = context.select(
-        F.col("context").alias("gram"),
-        (F.log(weight("toxic")) - F.log(weight("ordinary"))).alias("ratio"),
-        (F.col("ordinary_all") + F.col("toxic_all")).alias("n"),
-    )
+    one = seen.select("gram", (F.log(p("toxic")) - F.log(p("ordinary"))).alias("ratio"))
+    two = context.select(F.col("context").alias("gram"), (F.log(weight("toxic")) - F.log(weight("ordinary"))).alias("ratio"))
     return one, two
 
 
-def table(ratio: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Check bits (-1: empty) and log ratios by slot; at most ``SLOTS`` rows reach the driver."""
-    h = F.crc32(F.col("gram").cast("binary"))
-    rows = (
-        ratio.select(F.pmod(h, F.lit(SLOTS)).cast("int").alias("slot"), F.shiftright(h, 21).cast("short").alias("code"), F.col("ratio").cast("float"), "n", "gram")
-        .groupBy("slot")
-        .agg(F.max(F.struct("n", "gram", "code", "ratio")).alias("m"))
-        .select("slot", "m.code", "m.ratio")
-        .toArrow()
-    )
-    code, value = np.full(SLOTS, -1, np.int16), np.zeros(SLOTS, np.float32)
-    slot = rows.column(0).to_numpy()
-    code[slot], value[slot] = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-    return code, value
+def _codes(found: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _keys(code: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` characters up to ``last`` as two numbers of three each, so that no two grams are alike."""
+    out = []
+    for first in (3, 0):
+        key = np.zeros(len(last), np.uint64)
+        for k in range(first, first + 3):
+            key |= np.where(size > k, code[np.maximum(last - k, 0)], np.uint64(0)) << np.uint64(21 * (k - first))
+        out.append(key)
+    return out[0], out[1]
+
+
+class Table:
+    """Log ratios of grams, sorted by a hash that no two of them share."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, value: np.ndarray):
+        self.seed = 0
+        while len(np.unique(h := self._hash(high, low))) < len(h):
+            self.seed += 1
+        order = np.argsort(h)
+        self.high, self.low, self.value = high[order], low[order], value[order]
+        self.hash = h[order]
+
+    def _hash(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        h = (high + np.uint64(self.seed)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(32) ^ low) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(32)
+
+    def get(self, code: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams the table holds, and their log ratios, 0 for others."""
+        if not len(self.hash):
+            return np.zeros(len(last), bool), np.zeros(len(last))
+        high, low = _keys(code, last, size)
+        at = np.minimum(np.searchsorted(self.hash, self._hash(high, low)), len(self.hash) - 1)
+        hit = (self.high[at] == high) & (self.low[at] == low)
+        return hit, np.where(hit, self.value[at], 0.0)
+
+
+def table(ratio: DataFrame) -> Table:
+    """All rows (gram, ratio); they reach the driver, one a distinct gram."""
+    high, low, value = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for b in ratio.select("gram", F.col("ratio").cast("double")).toArrow().to_batches(100_000):
+        found = b.column(0).to_pylist()
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        for part, x in zip((high, low, value), (*_keys(_codes(found), np.cumsum(size) - 1, size), b.column(1).to_numpy()), strict=True):
+            part.append(x)
+    return Table(*map(np.concatenate, (high, low, value)))
 
 
 class WordRatios(dict):
-    def __init__(self, seen, context):
+    def __init__(self, seen: Table, context: Table):
         super().__init__()
         self.seen, self.context = seen, context
 
-    def __missing__(self, raw: str) -> float:
-        if len(self) > CACHE:
+    def learn(self, words: set[str]) -> None:
+        """Looks up the words that it doesn't hold; it may forget others for them, never one of ``words``."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE:
             self.clear()
-        total = 0.0
-        for g in grams(raw):
-            h = zlib.crc32(g.encode())
-            at = h & (SLOTS - 1)
-            if self.seen[0][at] == h >> 21:
-                total += float(self.seen[1][at])
-            else:
-                h = zlib.crc32(g[:-1].encode())
-                at = h & (SLOTS - 1)
-                if self.context[0][at] == h >> 21:
-                    total += float(self.context[1][at])
-        self[raw] = total
-        return total
+            new = list(words)
+        if not new:
+            return
+        found = [marked(w) for w in new]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        code, owner = _codes(found), np.repeat(np.arange(len(new)), size)
+        before = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)  # characters before it in its word
+        last = np.flatnonzero(before)
+        hit, value = self.seen.get(code, last, np.minimum(before[last] + 1, ORDER))
+        missed = np.flatnonzero(~hit)
+        value[missed] = self.context.get(code, last[missed] - 1, np.minimum(before[last[missed]], ORDER - 1))[1]
+        self.update(zip(new, np.bincount(owner[last], value, len(new)).tolist(), strict=True))
+
+    def __missing__(self, raw: str) -> float:
+        self.learn({raw})
+        return self[raw]
 
 
 def features(words: list[str], ratio: WordRatios) -> list[float]:
     if not words:
         return [0.0] * len(FEATURES)
-    v = np.array([ratio[w] for w in words])
+    v = np.fromiter(map(ratio.__getitem__, words), float, len(words))
     sums = np.concatenate(([0.0], np.cumsum(v)))
     out = []
     for n in WINDOWS:
@@ -197,10 +237,20 @@ def with_features(docs: DataFrame, seen, context, keep: list[str]) -> DataFrame:
     model = spark.sparkContext.broadcast((seen, context))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").cast("string").alias("text"))
 
+    def scored(texts: pa.Array, ratio: WordRatios) -> Iterator[list[float]]:
+        group, n = [], 0
+        for k, t in enumerate(texts, 1):
+            group.append(tokens(t.as_py()))
+            n += len(group[-1])
+            if n >= GROUP or k == len(texts):
+                ratio.learn(set().union(*group))
+                yield from [features(words, ratio) for words in group]
+                group, n = [], 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = WordRatios(*model.value)
         for b in batches:
-            found = np.array([features(tokens(t.as_py()), ratio) for t in b.column(1)]).reshape(-1, len(FEATURES))
+            found = np.array(list(scored(b.column(1), ratio))).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc", *FEATURES])
 
     return rows.mapInArrow(run, "doc " + rows.schema["doc"].dataType.simpleString() + "".join(f", {f} double" for f in FEATURES))

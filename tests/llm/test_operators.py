@@ -148,6 +148,21 @@ def test_toxicity(spark):
     assert right >= 0.95 * len(held)
 
 
+def test_every_gram_keeps_its_ratio(spark):
+    rng = np.random.default_rng(17)
+    words = sorted({"".join(rng.choice(list("abcdefghijklmnopé𝄞\0"), rng.integers(1, 9)).tolist()) for _ in range(8000)} - {"\0"})
+    grams = sorted({g for w in words[::2] for g in toxicity.grams(w)})
+    seen = dict(zip(grams, rng.normal(size=len(grams)).tolist(), strict=True))
+    heads = sorted({g[:-1] for g in grams})
+    context = dict(zip(heads, rng.normal(size=len(heads)).tolist(), strict=True))
+    frames = [spark.createDataFrame([(g, r, 1) for g, r in d.items()], "gram string, ratio double, n bigint") for d in (seen, context)]
+    got = toxicity.WordRatios(*map(toxicity.table, frames))
+    for w in words:
+        assert got[w] == pytest.approx(sum(seen.get(g, context.get(g[:-1], 0.0)) for g in toxicity.grams(w)), abs=1e-5)
+    none = toxicity.table(frames[0].where("false"))
+    assert toxicity.WordRatios(none, none)["abc"] == 0
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body class='home nav'><nav><a href=/x>Menu</a></nav><div class=\"ad\">Buy now, really long advert text " + "x " * 60 + "</div>"
