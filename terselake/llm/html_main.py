@@ -1,7 +1,8 @@
 """Main text of a web page by line-block distribution.
 
 Markup is stripped into lines, one per block. Lines in elements that are furniture by name or by their
-class, id or role count as empty, and so does all outside ``article`` or ``main`` on a page that has one.
+class, id or role count as empty. Characters inside ``article`` or ``main`` weigh ``WEIGHT`` times, and what
+counts as empty between two lines inside is no dive; a line on the other side of their border follows a dive.
 The length summed over ``WINDOW`` neighbouring lines rises at the main text and falls to nothing after it:
 a surge is a sum above a threshold relative to the page's largest, a dive an empty line, and the text
 between the two is kept whole, short lines too. Runs that hold little against the largest are dropped.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 86
 SHARE = 0.2
+WEIGHT = 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -129,10 +131,17 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """Kept blocks joined by a line feed; empty for a null, empty or all-furniture page."""
     found = lines(page or "")
-    articles = any(text and inside and not furniture for text, furniture, inside in found)
-    size = [0 if furniture or articles and not inside else len(text) for text, furniture, inside in found]
+    rows: list[tuple[str, int]] = []  # text and weighed length; a length of 0 is a dive
+    last, was = -1, False
+    for k, (text, furniture, inside) in enumerate(found):
+        if text and not furniture:
+            if not (inside and was):
+                rows += [("", 0)] * max(k - last - 1, inside != was)
+            rows.append((text, len(text) * (WEIGHT if inside else 1)))
+            last, was = k, inside
+    size = [n for _, n in rows]
     window = [sum(size[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(size))]
-    surge = 0 if articles else min(SURGE, max(window, default=0) / 3)
+    surge = min(SURGE, max(window, default=0) / 3)
     runs, start = [], None
     for i, n in enumerate([*size, 0]):
         if n and start is None:
@@ -142,7 +151,7 @@ def main_text(page: str | None) -> str:
                 runs.append((start, i, sum(size[start:i])))
             start = None
     most = max((n for _, _, n in runs), default=0)
-    return "\n".join(found[k][0] for a, b, n in runs if articles or n >= SHARE * most for k in range(a, b))
+    return "\n".join(rows[k][0] for a, b, n in runs if n >= SHARE * most for k in range(a, b))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -176,6 +176,16 @@ def test_main_text(spark):
     assert sorted(len(r["text"]) for r in html_main.extract(pages).collect())[0] == 0
 
 
+def test_article_is_a_weight():
+    main = "<div><p>" + "Body text of the page. " * 20 + "</p><p>Tiny.</p></div>"
+    body = " ".join(["Body text of the page."] * 20) + "\nTiny."
+    assert html_main.main_text(f"<body><article><p>A teaser card.</p></article>{main}</body>") == body
+    assert html_main.main_text(f"<body>{main}<main><p>A teaser card.</p></main></body>") == body
+    assert html_main.main_text(f"<body><div><p>Some words at the top of the page.</p></div><article>{main}</article><div>Latest news</div></body>") == body
+    both = f"<body><article>{main}</article><nav>x</nav><article><p>Next.</p></article></body>"
+    assert html_main.main_text(both) == body + "\nNext."
+
+
 def test_archives(spark, tmp_path):
     long = "<p>" + "é" * 100 + "\r\n\r\nWARC/1.1\r\nfiledesc://x 1 2 3 4</p>"
     rows = [(3, "http://a b/", long), (1, "http://a/", long), (2, None, "short"), (4, "http://b/", "short"), (5, "http://c/", None), (None, "http://d/", long), (7, "http://e/", "y" * 100_000), (1, "http://a/", long)]
