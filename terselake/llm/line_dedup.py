@@ -81,11 +81,13 @@ def _positions(units: Column) -> Column:
             def keys(i: Column) -> Column:
                 k, g = F.get(gs, i - 1)["k"], F.get(gs, i - 1)["g"]
                 line = lambda j: F.get(units, j - 1)["at"]  # noqa: E731  j is 1-based
-                # The lines after the gram that together hold fewer words than a gram.
+                # The lines after the gram that together hold fewer words than a gram. After a gram of one line
+                # the next gram begins, and may be no fingerprint, so its first line isn't counted.
+                free = lambda s, u: (k == 1) & (s["units"] == 0) & (u["n"] < WORDS)
                 more = F.aggregate(
                     F.slice(units, i + k, WORDS),
                     F.struct(F.lit(0).alias("words"), F.lit(0).alias("units")),
-                    lambda s, u: F.when((s["words"] + u["n"] >= WORDS) | (s["words"] < 0), F.struct(F.lit(-1).alias("words"), s["units"].alias("units"))).otherwise(
+                    lambda s, u: F.when(free(s, u), F.struct(F.lit(0).alias("words"), F.lit(1).alias("units"))).when((s["words"] + u["n"] >= WORDS) | (s["words"] < 0), F.struct(F.lit(-1).alias("words"), s["units"].alias("units"))).otherwise(
                         F.struct((s["words"] + u["n"]).alias("words"), (s["units"] + 1).alias("units"))
                     ),
                     lambda s: s["units"],

@@ -342,6 +342,17 @@ def test_every_long_repeated_run_goes(spark):
     assert all(line in left for _, t in texts for line in t.split("\n"))
 
 
+def test_whole_shared_run_goes(spark):
+    texts = []
+    for c in range(24):
+        run = [" ".join(f"w{c}_{k}_{i}" for i in range(n)) for k, n in enumerate((30, 20, 6))]
+        for d in (0, 1):
+            own = [" ".join(f"own{c}_{d}_{k}_{i}" for i in range(9)) for k in range(8)]
+            texts.append((2 * c + d, "\n".join(own[:4] + run + own[4:])))
+    for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id bigint, text string")).collect():
+        assert r["words_removed"] == (56 if r["doc"]["doc_id"] % 2 else 0)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
