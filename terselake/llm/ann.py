@@ -28,6 +28,8 @@ BLOCK = 4096
 QUERIES = 1024
 STEP = 16
 DOUBT = 2.1
+#: Squared distances that differ by no more count as equal.
+NOISE = 1e-9
 LISTS = 64
 SHARE = 0.7
 
@@ -69,11 +71,11 @@ def scan(q: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
             high = min(low + STEP, dim)
             part = part + np.square(rows[live, low:high] - q[low:high]).sum(1)
             if high < dim and limit < math.inf:
-                stay = part <= limit * (high / dim) * (1 + DOUBT / math.sqrt(high)) ** 2
+                stay = part <= limit * (high / dim) * (1 + DOUBT / math.sqrt(high)) ** 2 + NOISE
                 live, part = live[stay], part[stay]
                 if not len(live):
                     break
-        keep = part <= limit + 1e-9
+        keep = part <= limit + NOISE
         live, part = live[keep], part[keep]
         kept.append(live)
         best = np.sort(np.concatenate((best, part)))[:top]
@@ -88,7 +90,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int =
 
     ``vectors`` and ``queries`` have vec_id and embedding. Rows that :func:`valid` leaves out, and rows of
     another length than the most common one, take no part. Equal scores go to the smaller vec_id. Repeated
-    rows are candidates each. Other columns are ignored; an empty table gives no rows.
+    rows are candidates each, and queries each, with ranks of their own. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     good = valid(vectors)
@@ -118,8 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int =
 
     shape = "vec_id long, v array<double>, lists array<int>"
     index = materialise(good.mapInPandas(near(1), shape).select("vec_id", "v", F.get("lists", 0).alias("list"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("h")), "index")
-    asked = valid(queries).where(F.size("v") == dim).mapInPandas(near(probes), shape)
-    asked = materialise(asked.select("vec_id", "v", F.explode("lists").alias("list"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("h")), "queries")
+    asked = valid(queries).where(F.size("v") == dim).mapInPandas(near(probes), shape).withColumn("query", F.monotonically_increasing_id())
+    asked = materialise(asked.select("query", "vec_id", "v", F.explode("lists").alias("list"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("h")), "queries")
     # A count per list, at most LISTS rows each, sets how many blocks and query groups it has.
     held = {r[0]: r[1] for r in index.groupBy("list").count().collect()}
     wanted = {r[0]: r[1] for r in asked.groupBy("list").count().collect()}
@@ -129,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int =
     )
     plan = F.broadcast(plan)
     rows = index.join(plan, "list").select("list", F.pmod("h", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "vec_id", "v")
-    ask = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod("h", "groups").cast("int").alias("grp"), "vec_id", "v")
+    ask = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod("h", "groups").cast("int").alias("grp"), "query", "vec_id", "v")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -137,17 +139,17 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int =
             ids, raw = c["vec_id"].to_numpy(), np.array(c["v"].tolist())
             length = np.sqrt(np.square(raw).sum(1))
             turned = (raw / length[:, None]) @ turn
-            for qid, v in zip(q["vec_id"].tolist(), q["v"], strict=True):
+            for query, qid, v in zip(q["query"].tolist(), q["vec_id"].tolist(), q["v"], strict=True):
                 v = np.asarray(v)
                 own = math.sqrt(np.square(v).sum())
                 other = np.flatnonzero(ids != qid)
                 live = other[scan((v / own) @ turn, turned if len(other) == len(ids) else turned[other], top)]
                 score = (raw[live] * v).sum(1) / (length[live] * own)
                 best = np.lexsort((ids[live], -score))[:top]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[live][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                out.append(pd.DataFrame({"query": query, "query_id": qid, "vec_id": ids[live][best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype({"query": "int64", "query_id": "int64", "vec_id": "int64"})
 
     keys = ["list", "block", "grp"]
-    found = ask.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = ask.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -126,6 +126,21 @@ def test_search(spark):
     assert ann.search(df.where("false"), df, 5).count() == 0
 
 
+def test_no_copy_of_the_query_is_abandoned():
+    v = np.full(64, 1 / 8)
+    q = v.copy()
+    q[0] += 1e-15
+    assert len(ann.scan(q, np.tile(v, (3000, 1)), 5)) == 3000
+
+
+def test_repeated_query_has_ranks_of_its_own(spark):
+    rows = [(i, x) for i, x in enumerate(np.random.default_rng(19).normal(size=(60, 16)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ask = df.where("vec_id = 7")
+    once, twice = ([(r["rank"], r["vec_id"]) for r in ann.search(df, x, 5, share=1.0).collect()] for x in (ask, ask.unionAll(ask)))
+    assert len(once) == 5 and sorted(twice) == sorted(once * 2)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     plain = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "pa") for b in ("ra", "so", "ti", "ve", "xu")]
