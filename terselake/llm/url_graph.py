@@ -11,6 +11,8 @@ edge count and each round's change reach the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """``seeds`` (host, trust, distrust) and ``edges`` (src, dst, links) to ranks (host, trust, distrust).
 
     Seeds are scaled to sum 1 each. A round adds (1 - damping) of the seed to damping of what neighbours
     pass on, trust along links by their share of the source's, distrust against them by their share of
-    the target's. Stops after ``rounds`` or when no more than ``tolerance`` moves.
+    the target's. Stops when no more than ``tolerance`` moves, which damping below 1
+    sees to (some 95 rounds), or after ``rounds`` if they are given.
     """
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     share = lambda c, s: F.col(c) / (s or 1.0)
@@ -71,7 +74,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, roun
     shares = materialise(forward.union(against).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "shares")
     base = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     ranks = seeds
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         passed = shares.join(ranks, "host").select(
             F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust")
         )

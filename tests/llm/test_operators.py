@@ -101,6 +101,13 @@ def test_propagation_is_pagerank(spark):
         assert got[h] == pytest.approx((t[h], d[h]), abs=1e-6)
 
 
+def test_trust_reaches_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(33)], "src string, dst string, links bigint")
+    seeds = spark.createDataFrame([(f"h{i}", float(i == 0), 0.0) for i in range(34)], "host string, trust double, distrust double")
+    got = {r["host"]: r["trust"] for r in url_graph.propagate(seeds, edges).collect()}
+    assert all(got[f"h{i}"] == pytest.approx(0.15 * 0.85**i, abs=1e-6) for i in range(34))
+
+
 def test_search(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 16))
