@@ -60,9 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens; the workers forget the words, as other stages need the memory."""
-    with common.scope(SCOPE):
-        return packed(docs, keep_words=False)
+    """Pieces of sequences of 2048 tokens."""
+    return packed(docs)
 
 
 def _fresh(stage: Callable) -> Callable:
