@@ -6,39 +6,86 @@ hold the tokens. Documents go in descending length to the sequence of lowest est
 (``linear * n + quadratic * n**2`` summed over its pieces) that still has room; what fits nowhere whole is
 cut over the sequences with most room. A group therefore pads less than one sequence in all.
 
-Tokens: white space between words yields none, so a document's ids are those of its space-separated
-words one after another. Each worker keeps the ids of words it has met.
+Tokens: white space between words yields none, so a document's ids are those of its words one after
+another. Arrow splits a stretch of documents and numbers its distinct words; only words not met before are
+encoded, and ids are gathered by word number, so Python never handles a word twice in a stretch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
-CACHE = 800_000
-_tokenizers: dict[str, tuple] = {}
+#: Words a worker remembers, and bytes of text it splits at once.
+CACHE = 400_000
+STRETCH = 8 << 20
+#: A word-level tokenizer that lower-cases composed text and cuts before a mark that follows a letter or number.
+LOWERING = ["NFC", "Replace", "Lowercase"]
+CUTTING = ["Split", "ByteLevel"]
+_MARK = r"""([\pL\pN])([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"""
+_tokenizers: dict[str | None, WordIds] = {}
 
 
-class WordIds(dict):
-    """Word to its ids as little-endian 32-bit bytes; when full, forgets the half it met last, the rarer one."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one above 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordIds:
+    """Numbers words, and holds the ids of each; when full, forgets those it met last, the rarer ones."""
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE:
-            for w in list(self)[CACHE // 2 :]:
-                del self[w]
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
+        made = json.loads(tokenizer.to_str())
+        kinds = [[x["type"] for x in (made[k] or {}).get(part, [])] for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.plain = kinds == [LOWERING, CUTTING]
+        self.letters = byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.start = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. One of Latin letters only is one piece, which the merges get as it is."""
+        out, other = [], []
+        for w in words:
+            low = w.lower() if self.plain and w.isalpha() and max(w) < "\u0250" else ""
+            if low.isalpha():
+                out.append([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.letters))])
+            else:
+                other.append(len(out))
+                out.append([])
+        for k, e in zip(other, self.tokenizer.encode_batch([words[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each of ``words``, which are distinct; others may be forgotten for them."""
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > CACHE:
+            keep = list(self.number)[: CACHE // 2]
+            self.number = dict(zip(keep, range(len(keep)), strict=True))
+            self.start = self.start[: len(keep) + 1].copy()
+            self.flat = self.flat[: self.start[-1]].copy()
+            new = [w for w in words if w not in self.number]
+        if new:
+            found = self.encode(new)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.flat = np.concatenate((self.flat, np.array([i for ids in found for i in ids], "<u4")))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
 def word_ids(path: str | None) -> WordIds:
@@ -57,19 +104,29 @@ def word_ids(path: str | None) -> WordIds:
     return _tokenizers[path]
 
 
-def tokenise(texts: list[str | None], ids: WordIds, end: bytes) -> list[bytes]:
-    # Only these four are split at: any other white space is the tokenizer's business.
-    split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    out, at = [], 0
-    while at < len(split):  # words are learnt for some documents at a time, so that the cache can hold them
-        to, n = at, 0
-        while to < len(split) and (to == at or n + len(split[to]) <= 200_000):
-            n += len(split[to])
-            to += 1
-        ids.learn(set().union(*split[at:to]))
-        out += [b"".join([ids[w] for w in words]) + end for words in split[at:to]]
-        at = to
-    return out
+def tokenise(texts: pa.Array, ids: WordIds, end: int) -> Iterator[np.ndarray]:
+    """The ids of each text, with ``end`` after them."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    edge = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // STRETCH
+    cuts = [0, *(np.flatnonzero(np.diff(edge)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = texts[a:b]
+        if ids.plain:  # a space where the tokenizer cuts anyway makes fewer words
+            if not pc.any(pc.match_substring(part, "<|")).as_py():  # special tokens are matched as written
+                part = pc.ascii_lower(part)
+            part = pc.replace_substring_regex(part, _MARK, r"\1 \2")
+        # Only these four are split at: any other white space is the tokenizer's business.
+        for c in "\n\t\r":
+            part = pc.replace_substring(part, c, " ")
+        part = pc.split_pattern(part, " ")
+        words = part.flatten().dictionary_encode()
+        number = ids.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        first, size = ids.start[number], ids.start[number + 1] - ids.start[number]
+        before = np.concatenate(([0], np.cumsum(size)))
+        flat = ids.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        at = before[part.offsets.to_numpy() - part.offsets[0].as_py()]
+        for i, j in zip(at.tolist(), at[1:].tolist(), strict=False):
+            yield np.append(flat[i:j], np.uint32(end))
 
 
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float):
@@ -120,18 +177,14 @@ def pack(
     group_tokens: int = 1 << 20,
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
-    keep_words: bool = True,
 ) -> DataFrame:
     """Packs ``docs`` (doc_id, text; other columns ignored) and returns a row per piece.
 
     ``ids`` holds the piece's ids, little-endian unsigned 32-bit. A null or empty text is just the end
     id; null doc_ids and repeated rows are packed as documents of their own; an empty table gives no
     rows. ``sequence_id`` is unique over the table: the task's number and a counter. ``tokenizer_path``
-    None means the word-level file of the installed public tokenizers, found on each executor. Workers
-    keep the words they have met for their next task unless ``keep_words`` is false, which frees that memory.
+    None means the word-level file of the installed public tokenizers, found on each executor.
     """
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, base, sequences = word_ids(tokenizer_path), TaskContext.get().partitionId() << 36, 0
         held: list[tuple] = []
@@ -142,10 +195,10 @@ def pack(
             cols: list[list] = [[] for _ in range(8)]
             most = -1
             for d, start, length, b, offset, cost in balance(
-                [len(x) // 4 for _, x in held], capacity, linear, quadratic
+                [len(x) for _, x in held], capacity, linear, quadratic
             ):
                 doc_id, x = held[d]
-                row = (doc_id, start, length, x[4 * start : 4 * (start + length)], len(x) // 4, base + sequences + b, offset, cost)
+                row = (doc_id, start, length, x[start : start + length].tobytes(), len(x), base + sequences + b, offset, cost)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
                 most = max(most, b)
@@ -157,16 +210,12 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for at in range(0, len(doc_ids), 64):
-                for doc_id, x in zip(doc_ids[at : at + 64], tokenise(batch.column(1)[at : at + 64].to_pylist(), ids, end), strict=True):
-                    held.append((doc_id, x))
-                    tokens += len(x) // 4
-                    if tokens >= group_tokens:
-                        yield flush()
+            for doc_id, x in zip(batch.column(0).to_pylist(), tokenise(batch.column(1), ids, end_id), strict=True):
+                held.append((doc_id, x))
+                tokens += len(x)
+                if tokens >= group_tokens:
+                    yield flush()
         if held:
             yield flush()
-        if not keep_words:
-            ids.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
