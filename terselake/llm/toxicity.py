@@ -6,23 +6,25 @@ Kneser-Ney model of continuation counts over every document, labelled or not, so
 expression borrows from its parts, alike in both classes. What the classes share cancels in the log ratio:
 a gram that neither class has seen is worth the ratio of the two backoff weights of its context.
 
-Counts are summed in each task over distinct words, then by a shuffle of grams (not tokens). The model that
-scores holds every gram that a class has seen and every context of one, by its characters, and grows with
-the distinct grams: 32 bytes each in every Python worker.
+Distinct words are counted in each task and by a shuffle of words, their characters then by a shuffle of grams
+(never of tokens). The model that scores holds every gram that a class has seen and every context of one, by
+its characters, and grows with the distinct grams: 32 bytes each in every Python worker.
 
 A document's features are its log ratio per word, over the whole text and over its best window of each
-length in ``WINDOWS``, and how many words stand above each of ``MARKED``. A logistic fit on at most
-``fit_rows`` labelled rows, none of which is in the class counts, turns them into a score.
+length in ``WINDOWS``, so an expression of several words counts as one, and how many words stand above each of
+``MARKED``. A logistic fit on at most ``fit_rows`` labelled rows, none of which is in the class counts, turns
+them into a score.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,56 +32,87 @@ from .common import materialise, small
 
 ORDER = 6
 WINDOWS = (1, 3, 8, 32)
-CACHE = 300_000
-#: Words whose ratios are looked up at once.
-GROUP = 50_000
+#: Bytes of text that are split at once, and words that a task counts before it hands them on.
+STRETCH = 8 << 20
+HELD = 500_000
 MARKED = (2.0, 4.0)
-FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole", "log_words"] + [f"above_{t:g}" for t in MARKED]
-_EDGE = re.compile(r"^\W+|\W+$")
+FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole"] + [f"above_{t:g}" for t in MARKED]
 
 
-def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """For each stretch of texts: its distinct words between ``^`` and ``$``, the number of each text's words
+    among them, one after another, and where each text begins and the last ends. A token without letters or digits is empty.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    edge = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // STRETCH
+    cuts = [0, *(np.flatnonzero(np.diff(edge)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        found = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts[a:b])))
+        split = found.flatten().dictionary_encode()
+        bare = pc.replace_substring_regex(split.dictionary, r"^[^\pL\pN_]+|[^\pL\pN_]+$", "")
+        open_, close, none = (pa.scalar(c, pa.large_string()) for c in ("^", "$", ""))
+        word = pc.if_else(pc.equal(bare, none), none, pc.binary_join_element_wise(open_, bare, close, none))
+        yield word, split.indices.to_numpy(), found.offsets.to_numpy() - found.offsets[0].as_py()
+
 
+def grams(word: str) -> list[str]:
+    """The characters of a word between ``^`` and ``$``, each with its context before it."""
+    return [word[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(word))]
 
-def marked(raw: str) -> str:
-    """The word between its marks; empty for a token without letters or digits."""
-    word = _EDGE.sub("", raw)
-    return f"^{word}$" if word else ""
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["word", "ordinary", "toxic"]
+    seen: set[str] = set()
+    sums = (Counter(), Counter())
 
-def grams(raw: str) -> list[str]:
-    """The word's characters, each with its context before it."""
-    w = marked(raw)
-    return [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
+    def flush() -> pa.RecordBatch:
+        found = list(seen)
+        cols = [pa.array(found, pa.string())] + [pa.array([c[w] for w in found], pa.int64()) for c in sums]
+        for held in (seen, *sums):
+            held.clear()
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    for b in batches:
+        kinds, at = b.column(1).to_numpy(), 0
+        for word, number, cut in words(b.column(0)):
+            kind = np.repeat(kinds[at : at + len(cut) - 1], np.diff(cut))
+            at += len(cut) - 1
+            listed = word.to_pylist()
+            seen.update(listed)
+            for k, c in enumerate(sums, 1):
+                n = np.bincount(number[kind == k], minlength=len(listed))
+                for w in np.flatnonzero(n).tolist():
+                    c[listed[w]] += int(n[w])
+            if len(seen) > HELD:
+                yield flush()
+    yield flush()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = [Counter(), Counter(), Counter()]  # of other, ordinary and toxic documents
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        found: dict[str, list[int]] = {}
-        for kind, counter in enumerate(words):
-            for word, n in counter.items():
-                for g in grams(word):
-                    c = found.setdefault(g, [0, 0, 0])
-                    c[kind] += n
-            counter.clear()
-        cols = [pa.array(list(found), pa.string())] + [pa.array([c[k] for c in found.values()], pa.int64()) for k in (1, 2)]
+        cols = [pa.array(list(found), pa.string())] + [pa.array([c[k] for c in found.values()], pa.int64()) for k in (0, 1)]
+        found.clear()
         return pa.RecordBatch.from_arrays(cols, ["gram", "ordinary", "toxic"])
 
     for b in batches:
-        for text, kind in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            words[kind].update(tokens(text.as_py()))
-        if sum(map(len, words)) > 1_000_000:
-            yield flush()
+        for word, ordinary, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g in grams(word):
+                c = found.setdefault(g, [0, 0])
+                c[0] += ordinary
+                c[1] += toxic
+            if len(found) > HELD:
+                yield flush()
     yield flush()
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """``docs`` (text, kind 0 other, 1 ordinary, 2 toxic) to (gram, ordinary, toxic)."""
-    found = docs.select(F.col("text").cast("string"), "kind").mapInArrow(_count, "gram string, ordinary long, toxic long")
-    return found.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    sums = [F.sum(c).alias(c) for c in ("ordinary", "toxic")]
+    counted = docs.select(F.col("text").cast("string"), F.col("kind").cast("int")).mapInArrow(_count_words, "word string, ordinary long, toxic long")
+    counted = counted.groupBy("word").agg(*sums)
+    return counted.mapInArrow(_count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(*sums)
 
 
 def _head(c: Column) -> Column:
@@ -137,8 +170,10 @@ def ratios(counts: DataFrame, discount: float = 0.75) -> tuple[DataFrame, DataFr
     return one, two
 
 
-def _codes(found: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+def _codes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all strings, one after another, plus 1, and the length of each."""
+    whole = "".join(found.to_pylist()).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(whole, "<u4").astype(np.uint64) + np.uint64(1), pc.utf8_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _keys(code: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,78 +217,68 @@ def table(ratio: DataFrame) -> Table:
     """All rows (gram, ratio); they reach the driver, one a distinct gram."""
     high, low, value = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
     for b in ratio.select("gram", F.col("ratio").cast("double")).toArrow().to_batches(100_000):
-        found = b.column(0).to_pylist()
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        for part, x in zip((high, low, value), (*_keys(_codes(found), np.cumsum(size) - 1, size), b.column(1).to_numpy()), strict=True):
+        code, size = _codes(b.column(0))
+        for part, x in zip((high, low, value), (*_keys(code, np.cumsum(size) - 1, size), b.column(1).to_numpy()), strict=True):
             part.append(x)
     return Table(*map(np.concatenate, (high, low, value)))
 
 
-class WordRatios(dict):
-    def __init__(self, seen: Table, context: Table):
-        super().__init__()
-        self.seen, self.context = seen, context
-
-    def learn(self, words: set[str]) -> None:
-        """Looks up the words that it doesn't hold; it may forget others for them, never one of ``words``."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        if not new:
-            return
-        found = [marked(w) for w in new]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        code, owner = _codes(found), np.repeat(np.arange(len(new)), size)
-        before = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)  # characters before it in its word
-        last = np.flatnonzero(before)
-        hit, value = self.seen.get(code, last, np.minimum(before[last] + 1, ORDER))
-        missed = np.flatnonzero(~hit)
-        value[missed] = self.context.get(code, last[missed] - 1, np.minimum(before[last[missed]], ORDER - 1))[1]
-        self.update(zip(new, np.bincount(owner[last], value, len(new)).tolist(), strict=True))
-
-    def __missing__(self, raw: str) -> float:
-        self.learn({raw})
-        return self[raw]
-
-
-def features(words: list[str], ratio: WordRatios) -> list[float]:
-    if not words:
-        return [0.0] * len(FEATURES)
-    v = np.fromiter(map(ratio.__getitem__, words), float, len(words))
+def word_ratios(word: pa.Array, seen: Table, context: Table) -> np.ndarray:
+    """The log ratio of each word: that of its grams, or for one that no class has seen, that of its context."""
+    code, size = _codes(word)
+    owner = np.repeat(np.arange(len(word)), size)
+    before = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)  # characters before it in its word
+    last = np.flatnonzero(before)
+    hit, value = seen.get(code, last, np.minimum(before[last] + 1, ORDER))
+    missed = np.flatnonzero(~hit)
+    value[missed] = context.get(code, last[missed] - 1, np.minimum(before[last[missed]], ORDER - 1))[1]
+    return np.bincount(owner[last], value, len(word))
+
+
+def features(v: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each text, whose words' ratios stand in ``v`` between neighbouring ``cut``; zeros if it has none."""
+    size = np.diff(cut)
+    out = np.zeros((len(size), len(FEATURES)))
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    start, n = cut[:-1][some], size[some]
     sums = np.concatenate(([0.0], np.cumsum(v)))
-    out = []
-    for n in WINDOWS:
-        n = min(n, len(v))
-        out.append(float((sums[n:] - sums[:-n]).max() / n))
-    out.append(float(np.sort(v)[-3:].sum() / 3))
-    out += [float(v.mean()), float(np.log1p(len(v)))]
-    return out + [float(np.log1p((v > t).sum())) for t in MARKED]
-
-
-def with_features(docs: DataFrame, seen, context, keep: list[str]) -> DataFrame:
-    """``keep`` columns as struct ``doc``, then the features of ``text``."""
+    total = sums[start + n] - sums[start]
+    left = np.repeat(start + n, n) - np.arange(len(v))  # words from here to the text's end
+    cols = []
+    for w in WINDOWS:
+        run = np.full(len(v), -np.inf)
+        run[: max(0, len(v) - w + 1)] = sums[w:] - sums[:-w]
+        best = np.maximum.reduceat(np.where(left >= w, run, -np.inf), start)
+        cols.append(np.where(n >= w, best / w, total / n))
+    high, owner, three = v.copy(), np.repeat(np.arange(len(n)), n), np.zeros(len(n))
+    for k in range(3):
+        most = np.maximum.reduceat(high, start)
+        three += np.where(n > k, most, 0.0)
+        at = np.flatnonzero(high == most[owner])
+        high[at[np.unique(owner[at], return_index=True)[1]]] = -np.inf
+    cols += [three / 3, total / n]
+    cols += [np.log1p(np.add.reduceat((v > t).astype(float), start)) for t in MARKED]
+    out[some] = np.column_stack(cols)
+    return out
+
+
+def with_features(docs: DataFrame, seen: Table, context: Table, keep: list[str]) -> tuple[DataFrame, Broadcast]:
+    """``keep`` columns as struct ``doc``, then the features of ``text``; and the broadcast model, to be released."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((seen, context))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").cast("string").alias("text"))
 
-    def scored(texts: pa.Array, ratio: WordRatios) -> Iterator[list[float]]:
-        group, n = [], 0
-        for k, t in enumerate(texts, 1):
-            group.append(tokens(t.as_py()))
-            n += len(group[-1])
-            if n >= GROUP or k == len(texts):
-                ratio.learn(set().union(*group))
-                yield from [features(words, ratio) for words in group]
-                group, n = [], 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = WordRatios(*model.value)
         for b in batches:
-            found = np.array(list(scored(b.column(1), ratio))).reshape(-1, len(FEATURES))
+            found = [np.zeros((0, len(FEATURES)))]
+            for word, number, cut in words(b.column(1)):
+                found.append(features(word_ratios(word, *model.value)[number], cut))
+            found = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc", *FEATURES])
 
-    return rows.mapInArrow(run, "doc " + rows.schema["doc"].dataType.simpleString() + "".join(f", {f} double" for f in FEATURES))
+    return rows.mapInArrow(run, "doc " + rows.schema["doc"].dataType.simpleString() + "".join(f", {f} double" for f in FEATURES)), model
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -293,12 +318,19 @@ def score(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None,
     fitted = F.pmod(F.floor(h / 3), F.lit(4)) == 0
     count = told.where(~fitted)
     kind = F.when(F.col("toxic") > 0, 2).when(F.col("toxic") == 0, 1).otherwise(0)
-    counts = materialise(gram_counts(docs.join(small(count), "doc_id", "left").select("text", kind.alias("kind"))), "grams")
+    # A null doc_id has no label; where texts are shuffled to their labels, such rows are dealt by their text.
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    told_docs = docs.select("doc_id", "text", salt.alias("salt")).join(small(count.withColumn("salt", F.lit(0).cast("long"))), ["doc_id", "salt"], "left")
+    counts = materialise(gram_counts(told_docs.select("text", kind.alias("kind"))), "grams")
     seen, context = (table(t) for t in ratios(counts))
 
-    found = materialise(with_features(docs, seen, context, keep or ["doc_id"]), "features")
+    lazy, model = with_features(docs, seen, context, keep or ["doc_id"])
+    found = materialise(lazy, "features")
+    model.destroy()
     sample = told.where(fitted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = found.select(F.col("doc.doc_id").alias("doc_id"), *FEATURES).dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id").select("toxic", *FEATURES).toArrow()
+    rows = found.select(F.col("doc.doc_id").alias("doc_id"), *FEATURES).join(F.broadcast(sample), "doc_id")
+    # Of several texts with one doc_id, the greatest of each feature counts.
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), *[F.max(f).alias(f) for f in FEATURES]).orderBy("doc_id").toArrow()
     x = np.column_stack([rows.column(f).to_numpy() for f in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
     slope, intercept = fit(x, (rows.column("toxic").to_numpy() > 0).astype(float) if rows.num_rows else np.zeros(0))
     z = F.lit(intercept)
