@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .logs import log_records
-from .prose import PYTHON, SCRIPT, prose_chunks
+from .prose import PYTHON, SCRIPT, SIZES, Chunking, prose_chunks
 
 
 def detect_kind(name: Column | str = "name", text: Column | str = "text") -> Column:
@@ -19,7 +19,7 @@ def detect_kind(name: Column | str = "name", text: Column | str = "text") -> Col
     return F.when(code, "code").when(F.coalesce(T.looks_like_log(text), F.lit(False)), "log").otherwise("text")
 
 
-def chunk(docs: DataFrame, kind: str | None = None) -> DataFrame:
+def chunk(docs: DataFrame, kind: str | None = None, sizes: Chunking = SIZES) -> DataFrame:
     """Chunks of ``docs`` (doc_id, name, text); ``kind`` forces one of log, text or code for all."""
     if kind not in (None, "log", "text", "code"):
         raise ValueError(f"no such chunker: {kind}")
@@ -27,26 +27,32 @@ def chunk(docs: DataFrame, kind: str | None = None) -> DataFrame:
     if kind == "log":
         return log_records(base)
     if kind:
-        return prose_chunks(base, kind)
+        return prose_chunks(base, kind, sizes)
     routed = base.withColumn("route", detect_kind())
-    return log_records(routed.where("route = 'log'").drop("route")).unionByName(prose_chunks(routed.where("route <> 'log'").drop("route")))
+    return log_records(routed.where("route = 'log'").drop("route")).unionByName(prose_chunks(routed.where("route <> 'log'").drop("route"), sizes=sizes))
 
 
 def tiling_problems(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, id, problem: chunks that overlap, leave text between them, or differ from their document."""
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    both = chunks.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").withColumn("before", F.coalesce(F.lag("end_char").over(order), F.lit(0)))
-    gap = F.substring(F.col("whole"), F.col("before") + 1, F.col("start_char") - F.col("before"))
-    body = F.substring(F.col("whole"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ord"))) == 1
-    tail = F.substring(F.col("whole"), F.col("end_char") + 1, F.length("whole"))
-    problem = (
-        F.when(F.col("start_char") < F.col("before"), "overlap")
-        .when(F.trim(F.regexp_replace(gap, r"(?U)\s+", "")) != "", "gap")
-        .when(body != F.col("text"), "drift")
-        .when(last & (F.regexp_replace(tail, r"(?U)\s+", "") != ""), "tail")
-    )
-    return both.select("doc_id", "id", problem.alias("problem")).where("problem is not null")
+    """doc_id, id, problem: chunks that overlap, leave text between them, or differ from their document.
+
+    A document meets its chunks as one list, so its text is neither copied nor shuffled per chunk.
+    """
+    listed = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "start_char", "end_char", "text"))).alias("all"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    whole, n = F.col("whole"), F.size("all")
+
+    def judge(c: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get("all", i - 1)["end_char"])
+        problem = (
+            F.when(c["start_char"] < before, "overlap")
+            .when(bare(F.substring(whole, before + 1, c["start_char"] - before)) != "", "gap")
+            .when(F.substring(whole, c["start_char"] + 1, c["end_char"] - c["start_char"]) != c["text"], "drift")
+            .when((i == n - 1) & (bare(F.substring(whole, c["end_char"] + 1, F.length(whole))) != ""), "tail")
+        )
+        return F.struct(c["id"].alias("id"), problem.alias("problem"))
+
+    both = docs.select("doc_id", F.col("text").alias("whole")).join(listed, "doc_id")
+    return both.select("doc_id", F.inline(F.transform("all", judge))).where("problem is not null")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

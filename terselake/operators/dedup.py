@@ -88,11 +88,12 @@ def structural_pass(chunks: DataFrame, min_tokens: int = MIN_SHAPE_TOKENS) -> Da
     return _by_key(chunks, structural_signature(), fits, "structural")
 
 
-def threshold(provider: str | None) -> tuple[float, str | None]:
+def threshold(provider: str | None, table: dict[str, float] | None = None, default: float = THRESHOLD) -> tuple[float, str | None]:
     """The similarity threshold, and a note where it wasn't calibrated for the provider."""
-    if provider in THRESHOLDS:
-        return THRESHOLDS[provider], None
-    return THRESHOLD, f"threshold {THRESHOLD} is not calibrated for {provider or 'this embedder'}"
+    known = THRESHOLDS if table is None else table
+    if provider in known:
+        return known[provider], None
+    return default, f"threshold {default} is not calibrated for {provider or 'this embedder'}"
 
 
 def follow(vectors: np.ndarray, least: float) -> tuple[list[int], list[float]]:
@@ -185,13 +186,15 @@ def clusters(chunks: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(chunks: DataFrame, *, exact: bool = True, structural: bool = True, similar: float | None = None) -> DataFrame:
+def deduplicate(
+    chunks: DataFrame, *, exact: bool = True, structural: bool = True, similar: float | None = None, min_shape_tokens: int = MIN_SHAPE_TOKENS
+) -> DataFrame:
     """Chunks with leader, method, similarity and root; ``duplicate_count`` counts a root's occurrences."""
     out = unmarked(chunks)
     if exact:
         out = exact_pass(out)
     if structural:
-        out = structural_pass(out)
+        out = structural_pass(out, min_shape_tokens)
     if similar is not None and "vector" in chunks.columns:
         out = similarity_pass(out, similar)
     out = roots(out)
@@ -213,3 +216,9 @@ def accounting(chunks: DataFrame) -> DataFrame:
     return total.join(claimed, "doc_id", "left").select(
         "*", (F.col("tokens_in") - F.col("tokens_out")).alias("removed")
     ).fillna(0, ["claimed", "clusters", "largest"])
+
+
+def largest_clusters(found: DataFrame, limit: int) -> DataFrame:
+    """Each document's ``limit`` clusters of most members, of equal ones the first; ``place`` counts from 1."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "cluster_id"))
+    return found.withColumn("place", place).where(F.col("place") <= limit)

@@ -40,14 +40,27 @@ def analysis_text() -> Column:
     return F.coalesce(F.regexp_replace("template", T.TEMPLATE_MARKS, " "), F.col("text"))
 
 
+def entropy_of(text: Column) -> Column:
+    """Shannon entropy of a text's tokens over its maximum, damped below ENTROPY_TOKENS: a fold over its sorted tokens."""
+    bits = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
+    start = F.struct(F.lit("").alias("token"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("all"))
+
+    def step(s: Column, t: Column) -> Column:
+        again = F.struct(t.alias("token"), (s["n"] + 1).alias("n"), s["sum"].alias("sum"), (s["all"] + 1).alias("all"))
+        other = F.struct(t.alias("token"), F.lit(1).alias("n"), (s["sum"] + bits(s["n"])).alias("sum"), (s["all"] + 1).alias("all"))
+        return F.when(t == s["token"], again).otherwise(other)
+
+    def finish(s: Column) -> Column:
+        most = F.log2(s["all"].cast("double"))
+        damp = F.least(F.lit(1.0), most / F.log2(F.lit(float(ENTROPY_TOKENS))))
+        return F.when(s["all"] < 2, 0.0).otherwise((most - (s["sum"] + bits(s["n"])) / s["all"]) / most * damp)
+
+    return F.coalesce(F.aggregate(F.sort_array(T.token_list(text)), start, step, finish), F.lit(0.0))
+
+
 def entropy(chunks: DataFrame) -> DataFrame:
-    """(doc_id, id, entropy): Shannon entropy of the tokens over its maximum, damped below ENTROPY_TOKENS."""
-    counts = chunks.select(*KEY, F.explode(T.token_list(analysis_text())).alias("token")).groupBy(*KEY, "token").count()
-    total = counts.groupBy(*KEY).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"))
-    bits = F.log2("n") - F.col("s") / F.col("n")
-    damp = F.least(F.lit(1.0), F.log2("n") / F.log2(F.lit(float(ENTROPY_TOKENS))))
-    found = total.select(*KEY, F.when(F.col("n") < 2, 0.0).otherwise(bits / F.log2("n") * damp).alias("entropy"))
-    return chunks.select(*KEY).join(found, KEY, "left").fillna({"entropy": 0.0})
+    """(doc_id, id, entropy), row by row."""
+    return chunks.select(*KEY, entropy_of(analysis_text()).alias("entropy"))
 
 
 def tfidf(chunks: DataFrame) -> DataFrame:
@@ -118,20 +131,25 @@ def scaled(c: str, group: str = "doc_id") -> Column:
     return F.when(F.col(c).isNotNull(), x)
 
 
-def score(survivors: DataFrame, *, query: Column | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def asked_vector() -> Column:
+    """The vector of the document's own question, which is one of its protected chunks and was embedded with them."""
+    return F.first(F.when(F.col("kind") == "query", F.col("vector")), ignorenulls=True).over(Window.partitionBy("doc_id"))
+
+
+def score(survivors: DataFrame, *, weights: dict[str, float] | None = None, boost: float = FREQUENCY_BOOST) -> DataFrame:
     """Adds the scaled signals, ``density`` (6 digits) and ``density_parts`` (4). Signals a document lacks pass
-    their weight to the others."""
+    their weight to the others; relevance is that to the document's question."""
     weights = weights or WEIGHTS
     base = survivors
     if "vector" in base.columns:
-        base = novelty(base)
-        relevance = query_relevance(F.col("vector"), query) if query is not None else F.lit(None).cast("double")
+        base = novelty(base).withColumn("_asked", asked_vector())
+        relevance = query_relevance(F.col("vector"), F.col("_asked"))
     else:
         base, relevance = base.withColumn("novelty", F.lit(None).cast("double")), F.lit(None).cast("double")
     raw = (
         base.withColumn("_relevance", relevance)
-        .join(entropy(survivors), KEY)
         .join(tfidf(survivors), KEY)
+        .withColumn("entropy", entropy_of(analysis_text()))
         .withColumn("entities", entities())
         .withColumn("structure", structure())
         .withColumn("frequency", frequency())
@@ -145,7 +163,7 @@ def score(survivors: DataFrame, *, query: Column | None = None, weights: dict[st
     # Uniform where all weights present are zero.
     weight = lambda k: F.when(total > 0, F.lit(weights.get(k, 0.0)) / total).otherwise(1.0 / count)
     mean = sum((F.when(there[k], weight(k) * F.col(f"n_{k}")).otherwise(0.0) for k in WEIGHTS), F.lit(0.0))
-    density = (mean + FREQUENCY_BOOST * F.col("frequency")) / (1 + FREQUENCY_BOOST)
+    density = (mean + boost * F.col("frequency")) / (1 + boost)
     return out.select(
         *survivors.columns,
         F.when(F.col("kind").isin(*PROTECTED_KINDS), 1.0).otherwise(F.round(density, 6)).alias("density"),

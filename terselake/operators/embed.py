@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SETTLED
 
 Embedder = Callable[[list[str]], np.ndarray]
-#: Texts that each provider takes at once.
+#: Texts that each provider takes at once.
 BATCH = {"openai": 256, "gemini": 100, "cohere": 96, "local": 256}
 RETRY_PAUSE = 0.4
 COOLDOWN = 60.0
@@ -42,8 +42,15 @@ def hashing_embedder(dim: int = 256) -> Embedder:
     return embed
 
 
-def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 256) -> DataFrame:
-    """Adds ``vector`` (unit, array of float); one call per batch, one retry where that may help."""
+def embed(df: DataFrame, embedder: Embedder | Chain, text: str = "text", batch: int = 256) -> DataFrame:
+    """Adds ``vector`` (unit, array of float); one call per batch, one retry where that may help.
+
+    Of a chain, the first provider that answers a probe on the driver embeds the whole table, in batches of the size
+    that it takes, as vectors of different providers can't be compared.
+    """
+    if isinstance(embedder, Chain):
+        name, _ = embedder.run([""])
+        embedder, batch = next(f for n, _, f in embedder.providers if n == name), BATCH.get(name, batch)
 
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -141,13 +148,24 @@ def choose(providers: list[str], mode: str = "auto", pin: str | None = None, off
 
 
 def catalogue(spark, embedding: list[tuple[str, bool]], generation: list[tuple[str, bool]], preference=("cohere", "gemini", "openai", "local")) -> DataFrame:
-    """Each generator with the embedder to use beside it: its own vendor's if ready, else the first ready by preference."""
+    """Presets: each generator with the embedder to use beside it, its own vendor's if ready, else the first ready by
+    preference; ``why`` says what a preset that isn't ready lacks."""
     rank = {n: i for i, n in enumerate(preference)}
     e = spark.createDataFrame([(n, ok, rank.get(n, len(rank))) for n, ok in embedding], "embedder string, embedder_ready boolean, rank int")
     g = spark.createDataFrame(generation, "generator string, ready boolean")
     own = g.join(F.broadcast(e.where("embedder_ready")), F.col("generator") == F.col("embedder"), "left")
     best = e.where("embedder_ready").agg(F.min_by("embedder", "rank").alias("best"))
-    return own.join(F.broadcast(best)).select("generator", "ready", F.coalesce("embedder", "best").alias("embedder"))
+    why = F.when(~F.col("ready"), "no generator").when(F.coalesce("embedder", "best").isNull(), "no embedder")
+    return own.join(F.broadcast(best)).select("generator", "ready", F.coalesce("embedder", "best").alias("embedder"), F.col("generator").isin(*LOCAL).alias("local"), why.alias("why"))
+
+
+def readiness(presets: DataFrame) -> DataFrame:
+    """(mode, ready, generators, embedders): whether a generator of each mode can be used; embeddings may be missing."""
+    mode = F.when(F.col("local"), "local").otherwise("cloud")
+    names = lambda c: F.sort_array(F.collect_set(c))
+    return presets.groupBy(mode.alias("mode")).agg(
+        F.bool_or("ready").alias("ready"), names(F.when(F.col("ready"), F.col("generator"))).alias("generators"), names("embedder").alias("embedders")
+    )
 
 
 def dot(a: Column, b: Column) -> Column:

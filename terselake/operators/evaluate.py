@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +14,10 @@ from ..functions import text as T
 #: Dollars for a million tokens, in and out.
 PRICES = {"gpt-4o-mini": (0.15, 0.60), "gpt-4o": (2.50, 10.00), "claude-sonnet-4-5": (3.00, 15.00)}
 DEFAULT_MODEL = "gpt-4o-mini"
-BUDGETS = (0.15, 0.30, 0.50)
+#: Tokens that a local model reads; a longer prompt would be cut without a word.
+WINDOW = 16384
+#: Judge calls that may fail one after another.
+FAILURES = 3
 
 
 def validate(items: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -103,15 +110,50 @@ def judge_reply(reply: Column | str) -> Column:
     return F.get_json_object(found, "$.correct").cast("boolean")
 
 
+def judged(answers: Iterable[str | None], ask: Callable[[str], str | None]) -> list[bool | None]:
+    """What a judge says of each answer; None without an answer or a reply. It is asked no more after FAILURES failures in a row."""
+    out: list[bool | None] = []
+    failed = 0
+    for answer in answers:
+        reply = ask(answer) if failed < FAILURES and (answer or "").strip() else None
+        if failed < FAILURES and (answer or "").strip():
+            failed = failed + 1 if reply is None else 0
+        found = re.search(r"(?s)\{.*\}", reply or "")
+        try:
+            said = json.loads(found[0]).get("correct") if found else None
+        except (ValueError, AttributeError):
+            said = None
+        out.append(None if said is None else bool(said))
+    return out
+
+
 def diagnostic_candidates(rows: DataFrame) -> DataFrame:
     """Items whose facts are all in the compressed context though the answer missed some."""
     return rows.where((F.size(missing_facts("context_text")) == 0) & (F.size(missing_facts("answer")) > 0))
 
 
-def fits_window(tokens: Column | str, num_ctx: int = 16384) -> Column:
+def diagnosis(rows: DataFrame) -> DataFrame:
+    """(items, resolved, verdict) over items (resolved boolean): whose fault misses are, by the share a stronger model resolves."""
+    n, good = F.count("*"), F.count_if("resolved")
+    most = F.greatest(F.lit(1), F.floor(n / 2))
+    return rows.agg(
+        n.alias("items"), good.alias("resolved"), F.when(good >= most, "retrieval-bound").when(good > 0, "mixed").otherwise("not retrieval-bound").alias("verdict")
+    )
+
+
+def fits_window(tokens: Column | str, num_ctx: int = WINDOW) -> Column:
     return (F.col(tokens) if isinstance(tokens, str) else tokens) <= num_ctx
 
 
+def guard_window(items: DataFrame, local: bool, num_ctx: int = WINDOW) -> DataFrame:
+    """``items`` (id, original_tokens), which fail when read if a local model would cut one's original context."""
+    if not local:
+        return items
+    message = F.format_string(f"%s: %d tokens are more than the {num_ctx} that the model reads", F.col("id").cast("string"), F.col("original_tokens"))
+    checked = F.when(fits_window("original_tokens", num_ctx), F.col("original_tokens")).otherwise(F.raise_error(message).cast("int"))
+    return items.withColumn("original_tokens", checked)
+
+
 def finalize(stored: DataFrame, survival: DataFrame) -> DataFrame:
     """A stored report's items with survival recomputed."""
     keep = [c for c in stored.columns if c not in ("present", "facts", "survival")]

@@ -72,14 +72,21 @@ def log_records(docs: DataFrame) -> DataFrame:
 
 
 def chunk_rows(spans: DataFrame) -> DataFrame:
-    """Fills the columns of a chunk that follow from its text and place; missing ones are null."""
-    order = Window.partitionBy("doc_id").orderBy("start_char", "end_char")
+    """Fills the columns of a chunk that follow from its text and place; missing ones are null.
+
+    Spans that come with their number need no window, and so no exchange.
+    """
     newlines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     out = spans
     if "end_char" not in out.columns:
         out = out.withColumn("end_char", (F.col("start_char") + F.length("text")).cast("int"))
-    out = out.withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
-    out = out.withColumn("token_count", T.token_count("text")).withColumn("end_line", (F.col("start_line") + newlines).cast("int"))
+    if "ord" not in out.columns:
+        order = Window.partitionBy("doc_id").orderBy("start_char", "end_char")
+        out = out.withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
+    if "token_count" not in out.columns:
+        out = out.withColumn("token_count", T.token_count("text"))
+    if "end_line" not in out.columns:
+        out = out.withColumn("end_line", (F.col("start_line") + newlines).cast("int"))
     for c, t in (
         ("symbol", "string"), ("template", "string"), ("level", "string"), ("lines", "int"), ("section", "string"),
         ("heading_level", "int"), ("language", "string"), ("merged_parts", "int"), ("split_part", "int"), ("split_of", "int"),

@@ -93,6 +93,16 @@ def stitch(chunks: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     return pieces.withColumn("compressed_tokens", T.token_count("compressed"))
 
 
+def rebuild_metrics(texts: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """(doc_id, tokens_out, markers, marker_tokens, content_tokens): how much of each text is markers."""
+    if marks is None:
+        per = texts.select("doc_id", F.lit(0).cast("long").alias("markers"), F.lit(0).cast("long").alias("marker_tokens"))
+    else:
+        per = marks.groupBy("doc_id").agg(F.count("*").alias("markers"), F.sum(T.token_count("text")).alias("marker_tokens"))
+    out = texts.join(per, "doc_id", "left").fillna(0, ["markers", "marker_tokens"])
+    return out.select("doc_id", F.col("compressed_tokens").alias("tokens_out"), "markers", "marker_tokens", (F.col("compressed_tokens") - F.col("marker_tokens")).alias("content_tokens"))
+
+
 def recoverable(marks: DataFrame) -> DataFrame:
     return marks.select("doc_id", "marker_id", "kind", "chunk_ids", "sections", "tokens", "start_line", "end_line", "start_char", "end_char", "representative_id", "method")
 
@@ -133,7 +143,7 @@ def spans(chunks: DataFrame) -> DataFrame:
 
 
 def measure(rows: list[dict], kept: set[str], marks: bool = True) -> int:
-    """Tokens of the text that :func:`stitch` and :func:`markers` make of these rows; words add up over parts."""
+    """Tokens of the text that :func:`stitch` and :func:`markers` make of these rows (with their ``words``); words add up over parts."""
     words = 0
     run: list[dict] = []
 
@@ -150,7 +160,7 @@ def measure(rows: list[dict], kept: set[str], marks: bool = True) -> int:
         if r["id"] not in kept:
             run.append(r)
             continue
-        words += close() + len(_WORD.findall(r["text"]))
+        words += close() + r["words"]
         run = []
         if marks and r["duplicate_count"] and r["duplicate_count"] > 1 and r["method"]:
             text = f"[x{r['duplicate_count']} #c0 near-identical occurrences collapsed ({int(r['absorbed_tokens'] or 0)} tokens saved, {r['method']} match)]"

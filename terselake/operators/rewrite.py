@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .embed import Chain
 from .select import rewrite_candidates
 
 OVERLAP = 0.90
@@ -46,15 +47,23 @@ def saved(judged: DataFrame) -> DataFrame:
 
 
 def rewrite(
-    chunks: DataFrame, generate: Callable[[str, float], str | None] | None, *, enabled: bool = True, fast: bool = False, stage_seconds: float = STAGE_SECONDS
+    chunks: DataFrame, generate: Callable[[str, float], str | None] | Chain | None, *, enabled: bool = True, fast: bool = False,
+    stage_seconds: float = STAGE_SECONDS, least: int = 150, limit: int = 12, overlap: float = OVERLAP, numbers: bool = True,
 ) -> tuple[DataFrame, DataFrame, str | None]:
     """(chunks with ``compressed_text``, judged rewrites, why it was skipped). ``generate`` is called on executors
-    with a text and its seconds, and returns None when it has no answer; a document's calls share its time."""
+    with a text and its seconds, and returns None when it has no answer; a document's calls share its time. A chain of
+    generators is asked in its order, and a chain that is exhausted has no answer."""
+    if isinstance(generate, Chain):
+        chain = generate
+        if not chain.available:
+            generate = None
+        else:
+            generate = lambda text, seconds: (chain.try_run(text, seconds) or (None, None))[1]
     why = "fast mode" if fast else "disabled" if not enabled else "no model is available" if generate is None else None
-    long = rewrite_candidates(chunks).select("doc_id", "id", F.col("text").alias("original"), "token_count")
+    long = rewrite_candidates(chunks, least, limit).select("doc_id", "id", F.col("text").alias("original"), "token_count")
     if why:
         empty = long.withColumn("candidate", F.lit(None).cast("string")).limit(0)
-        return chunks.withColumn("compressed_text", F.lit(None).cast("string")), verdicts(empty), why
+        return chunks.withColumn("compressed_text", F.lit(None).cast("string")), verdicts(empty, overlap, numbers), why
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         began, out = time.monotonic(), []
@@ -66,8 +75,6 @@ def rewrite(
                 out.append(None)
         return pdf.assign(candidate=pd.Series(out, index=pdf.index, dtype=object))
 
-    judged = verdicts(long.groupBy("doc_id").applyInPandas(run, "doc_id bigint, id string, original string, token_count int, candidate string"))
+    judged = verdicts(long.groupBy("doc_id").applyInPandas(run, "doc_id bigint, id string, original string, token_count int, candidate string"), overlap, numbers)
     new = judged.where("accepted").select("doc_id", "id", F.col("rewritten").alias("compressed_text"))
     return chunks.join(new, ["doc_id", "id"], "left"), judged, None
-
-

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..schema import CODE_KINDS, PROTECTED_KINDS
 from . import rebuild
 from .dedup import KEYWORDS, LEXER
@@ -44,17 +45,24 @@ def allowance(limit: Column, reserve: float = RESERVE) -> Column:
     return F.greatest(F.lit(1), F.floor(limit * F.lit(1 - reserve)).cast("int"))
 
 
+BLOCK = 256
+
+
 def fit_in_order(rows: Column, limit: Column, used: Column, kept: Column, least: int) -> Column:
     """Ids admitted from ``rows`` (array of struct with id and tokens) in order: those that still fit are taken and
-    others passed over, and any are while fewer than ``least`` are kept."""
-    start = F.struct(used.cast("long").alias("used"), kept.cast("int").alias("kept"), F.array().cast("array<string>").alias("ids"))
+    others passed over, and any are while fewer than ``least`` are kept. Ids gather in blocks, so that a step copies
+    few of them however many there are."""
+    none = F.array().cast("array<string>")
+    start = F.struct(used.cast("long").alias("used"), kept.cast("int").alias("kept"), none.alias("ids"), F.array().cast("array<array<string>>").alias("full"))
 
     def take(s: Column, r: Column) -> Column:
         fits = (s["used"] + r["tokens"] <= limit) | (s["kept"] < least)
-        more = F.struct((s["used"] + r["tokens"]).alias("used"), (s["kept"] + 1).alias("kept"), F.concat(s["ids"], F.array(r["id"])).alias("ids"))
-        return F.when(fits, more).otherwise(s)
+        size = [(s["used"] + r["tokens"]).alias("used"), (s["kept"] + 1).alias("kept")]
+        more = F.struct(*size, F.concat(s["ids"], F.array(r["id"])).alias("ids"), s["full"].alias("full"))
+        block = F.struct(*size, F.array(r["id"]).alias("ids"), F.concat(s["full"], F.array(s["ids"])).alias("full"))
+        return F.when(fits & (F.size(s["ids"]) < BLOCK), more).when(fits, block).otherwise(s)
 
-    return F.aggregate(rows, start, take, lambda s: s["ids"])
+    return F.aggregate(rows, start, take, lambda s: F.concat(F.flatten(s["full"]), s["ids"]))
 
 
 def select(
@@ -65,6 +73,7 @@ def select(
     ``density`` holds back a reserve for markers and admits protected chunks first; ``truncate`` takes them in
     document order and ``random`` in an order drawn by hash, both without reserve or protection.
     """
+    least = least if strategy == "density" else 0
     if strategy not in ("density", "truncate", "random"):
         raise ValueError(f"no such strategy: {strategy}")
     protected = F.col("kind").isin(*PROTECTED_KINDS) if strategy == "density" else F.lit(False)
@@ -245,7 +254,7 @@ def select_with_repair(
     """Like :func:`select` by density, with dependencies mended and the budget met with markers counted in."""
     names = lambda df, c: df.groupBy("doc_id", "id").agg(F.sort_array(F.collect_set("name")).alias(c))
     rows = (
-        chunks.select("doc_id", "id", "ord", "kind", "symbol", "token_count", "density", "start_line", "end_line", "text", "duplicate_count", "cluster_id", "absorbed_tokens", "method")
+        chunks.select("doc_id", "id", "ord", "kind", "symbol", "token_count", "density", "start_line", "end_line", T.word_count("text").alias("words"), "duplicate_count", "cluster_id", "absorbed_tokens", "method")
         .join(names(definitions(chunks), "defines"), ["doc_id", "id"], "left")
         .join(names(references(chunks), "uses"), ["doc_id", "id"], "left")
         .join(originals.select("doc_id", budget(F.col("original_tokens"), ratio).alias("limit")), "doc_id")
@@ -260,5 +269,3 @@ def select_with_repair(
 
     found = rows.groupBy("doc_id").applyInPandas(run, "doc_id bigint, id string, selected boolean, drop_reason string")
     return chunks.join(found, ["doc_id", "id"])
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +12,22 @@ from ..operators import chunk as C
 from ..operators import dedup as D
 from ..operators import density as N
 from ..operators import embed as E
+from ..operators import evaluate as V
 from ..operators import rebuild as R
 from ..operators import select as K
 from ..operators.rewrite import rewrite
-from ..scratch import materialise
+from ..scratch import drop, materialise, written
 from ..sources.config import Config
 from ..sources.ingest import with_protected
 
+#: Shares of its tokens to which the comparison of strategies compresses a document.
+RATIOS = (0.15, 0.30, 0.50)
 STAGES = ("chunking", "redundancy", "density", "selection", "abstractive", "reconstruction")
 
 
 @dataclass
 class Compression:
-    """Lazy tables of one run, each keyed by doc_id."""
+    """Lazy tables of one run, each keyed by doc_id, and the folders of the stages they read."""
 
     documents: DataFrame
     chunks: DataFrame
@@ -33,6 +36,14 @@ class Compression:
     markers: DataFrame | None
     texts: DataFrame
     note: str | None = None
+    paths: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Removes the stages' tables; what is lazy here can't be read any more."""
+        drop(self.documents.sparkSession, self.paths)
+
+    def rebuild_metrics(self) -> DataFrame:
+        return R.rebuild_metrics(self.texts, self.markers)
 
     def summary(self) -> DataFrame:
         """Tokens before and after, the ratio saved, and what was kept, per document; an empty one has zeros."""
@@ -67,33 +78,18 @@ class Compression:
         return out.select("doc_id", F.to_json(F.struct(*[c for c in out.columns if c != "doc_id"])).alias("payload"))
 
 
-def compress(
-    docs: DataFrame, *, config: Config | None = None, query: str | None = None, instruction: str | None = None, embedder: E.Embedder | None = None,
-    provider: str | None = None, generate=None, kind: str | None = None,
-) -> Compression:
-    """Compresses ``docs`` (doc_id, name, text), each to its share of tokens.
-
-    Stages are written between one another, since each is read several times by the next.
-
-    Without an embedder, similarity, novelty and query relevance are left out and their weights pass to the
-    other signals; without ``generate`` nothing is rewritten.
-    """
-    config = config or Config()
-    docs = docs.select("doc_id", "name", "text")
-    originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
-    chunks = materialise(with_protected(C.chunk(docs, kind), query, instruction), "chunks")
-    asked = None
-    if embedder is not None:
-        chunks = materialise(E.embed(chunks, embedder), "embedded")
-        if query:
-            import numpy as np
-
-            vector = E.unit(np.asarray(embedder([query.strip()]), float))[0]
-            asked = F.array(*[F.lit(float(x)) for x in vector])
+def scored_chunks(
+    docs: DataFrame, config: Config, *, query: str | DataFrame | None = None, instruction: str | None = None, embedder: E.Embedder | E.Chain | None = None,
+    provider: str | None = None, kind: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all chunks with their fate in deduplication, clusters, survivors with their density): what selection starts from."""
+    chunks = materialise(with_protected(C.chunk(docs, kind, config.chunking), query, instruction), "chunks")
     similar = None
     if embedder is not None:
-        similar = config.dedup.similarity if config.dedup.similarity is not None else D.threshold(provider)[0]
-    chunks = D.deduplicate(chunks, exact=config.dedup.exact, structural=config.dedup.structural, similar=similar)
+        chunks = materialise(E.embed(chunks, embedder), "embedded")
+        similar = D.threshold(provider, config.dedup.thresholds, config.dedup.similarity)[0]
+    d = config.dedup
+    chunks = D.deduplicate(chunks, exact=d.exact, structural=d.structural, similar=similar, min_shape_tokens=d.min_shape_tokens)
     chunks = materialise(chunks, "deduplicated")
     groups = materialise(D.clusters(chunks), "clusters")
     live = chunks.where("leader is null").join(
@@ -101,14 +97,85 @@ def compress(
     )
     live = live.drop("leader", "method", "similarity", "root").withColumnRenamed("_m", "method")
     live = materialise(live, "survivors")
-    scored = materialise(N.score(live, query=asked, weights=config.density.weights), "scored")
+    return chunks, groups, materialise(N.score(live, weights=config.density.weights, boost=config.density.frequency_boost), "scored")
+
+
+def choose(scored: DataFrame, originals: DataFrame, config: Config) -> DataFrame:
     s = config.selection
     if s.repair and s.strategy == "density":
-        chosen = K.select_with_repair(scored, originals, ratio=s.ratio, least=s.min_kept, reserve=s.reserve, markers=config.reconstruction.drop_markers)
-    else:
-        chosen = K.select(scored, originals, ratio=s.ratio, strategy=s.strategy, least=s.min_kept)
-    rewritten, _, why = rewrite(materialise(chosen, "selected"), generate)
-    marks = None
-    if config.reconstruction.drop_markers or config.reconstruction.cluster_markers:
-        marks = R.markers(rewritten, groups, drops=config.reconstruction.drop_markers, collapses=config.reconstruction.cluster_markers)
-    return Compression(docs, chunks, groups, rewritten, marks, R.stitch(rewritten, marks), why)
+        return K.select_with_repair(scored, originals, ratio=s.ratio, least=s.min_kept, reserve=s.reserve, markers=config.reconstruction.drop_markers)
+    return K.select(scored, originals, ratio=s.ratio, strategy=s.strategy, least=s.min_kept if s.strategy == "density" else 0)
+
+
+def marks_of(chosen: DataFrame, groups: DataFrame, config: Config) -> DataFrame | None:
+    r = config.reconstruction
+    if not (r.drop_markers or r.cluster_markers):
+        return None
+    return R.markers(chosen, groups, drops=r.drop_markers, collapses=r.cluster_markers)
+
+
+def compress(
+    docs: DataFrame, *, config: Config | None = None, query: str | DataFrame | None = None, instruction: str | None = None,
+    embedder: E.Embedder | E.Chain | None = None, provider: str | None = None, generate=None, kind: str | None = None,
+) -> Compression:
+    """Compresses ``docs`` (doc_id, name, text), each to its share of tokens; doc_id must be unique.
+
+    Stages are written between one another, since each is read several times by the next; ``Compression.release``
+    removes them. ``query`` is a question for all documents or a table (doc_id, query) with each one's own.
+    Without an embedder, similarity, novelty and query relevance are left out and their weights pass to the
+    other signals; without ``generate`` nothing is rewritten.
+    """
+    config = config or Config()
+    docs = docs.select("doc_id", "name", "text")
+    originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
+    with written() as paths:
+        chunks, groups, scored = scored_chunks(docs, config, query=query, instruction=instruction, embedder=embedder, provider=provider, kind=kind)
+        w = config.rewrite
+        rewritten, _, why = rewrite(
+            materialise(choose(scored, originals, config), "selected"), generate, enabled=w.enabled, stage_seconds=w.stage_seconds, least=w.min_tokens,
+            limit=w.max_chunks, overlap=w.overlap, numbers=w.numbers,
+        )
+        marks = marks_of(rewritten, groups, config)
+    return Compression(docs, chunks, groups, rewritten, marks, R.stitch(rewritten, marks), why, paths)
+
+
+def compress_items(items: DataFrame, contexts: DataFrame, **options) -> tuple[DataFrame, Compression]:
+    """(items with doc_id, compression): one compression for each different (context, question), shared by the items that ask it.
+
+    ``items`` have context and question, ``contexts`` (context, text) and perhaps name. Each compression is aware of its question.
+    """
+    pairs = items.select("context", "question").distinct()
+    # The number of a pair follows from the pair, so it is the same whenever the plan runs.
+    pairs = pairs.withColumn("doc_id", F.xxhash64("context", "question"))
+    texts = contexts if "name" in contexts.columns else contexts.withColumn("name", F.col("context"))
+    docs = pairs.join(texts.select("context", "name", "text"), "context").select("doc_id", "name", "text")
+    run = compress(docs, query=pairs.select("doc_id", F.col("question").alias("query")), **options)
+    return items.withColumn("doc_id", F.xxhash64("context", "question")), run
+
+
+def compare_strategies(
+    items: DataFrame, contexts: DataFrame, *, ratios: tuple[float, ...] = RATIOS, strategies: tuple[str, ...] = ("truncate", "random", "density"),
+    config: Config | None = None, **options,
+) -> DataFrame:
+    """(strategy, ratio, context, present, facts, survival, tokens): facts of ``items`` (context, key_facts) that survive in
+    ``contexts`` (context, name, text), for each way to select and budget, by context and over all (context null).
+
+    Chunks, duplicates and scores are the same for all, so they are made once; only selection and rebuilding differ.
+    """
+    config = config or Config()
+    docs = contexts.select(F.xxhash64("context").alias("doc_id"), "context", "name", "text")
+    originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
+    _, groups, scored = scored_chunks(docs.drop("context"), config, **options)
+    out = None
+    for ratio in ratios:
+        for strategy in strategies:
+            mine = config.with_overrides({"selection": {"ratio": ratio, "strategy": strategy}})
+            chosen = choose(scored, originals, mine)
+            texts = materialise(docs.select("doc_id", "context").join(R.stitch(chosen, marks_of(chosen, groups, mine)), "doc_id"), "texts")
+            sizes = texts.rollup("context").agg(F.sum("compressed_tokens").alias("tokens"))
+            found = V.fact_survival(items, texts.select("context", F.col("compressed").alias("text")))
+            sizes = sizes.withColumnRenamed("context", "_c")
+            found = found.join(sizes, F.col("context").eqNullSafe(F.col("_c")), "left").drop("_c")
+            rows = found.select(F.lit(strategy).alias("strategy"), F.lit(ratio).alias("ratio"), *found.columns)
+            out = rows if out is None else out.unionByName(rows)
+    return out

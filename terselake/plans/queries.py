@@ -14,9 +14,7 @@ from ..operators import density as N
 from ..operators import embed as E
 from ..operators import evaluate as V
 from ..operators import rebuild as R
-from ..operators import rewrite as A
 from ..operators import select as K
-from ..operators.logs import log_records
 from ..session import ship
 from ..sources import ingest as S
 from .compress import Compression, compress
@@ -37,7 +35,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer files than there are cores is spread over them, as a file's row group is one task's work."""
+    found = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found if len(found.inputFiles()) >= cores else found.repartition(cores)
 
 
 def r6(c) -> F.Column:
@@ -83,11 +84,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"token_count": T.token_count("text"), **none})
 
 
-def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of their source."""
+def by_source(spark: SparkSession, sf_dir: str, group: str = "source") -> DataFrame:
+    """Documents as chunks of their source, or of another group."""
     t = table(spark, sf_dir, "documents")
     none = {c: F.lit(None).cast(k) for c, k in (("symbol", "string"), ("template", "string"), ("level", "string"))}
-    rows = t.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("paragraph").alias("kind"), "text")
+    rows = t.select(F.col(group).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("paragraph").alias("kind"), "text")
     return rows.withColumns({"token_count": T.token_count("text"), **none})
 
 
@@ -116,35 +117,37 @@ def T9_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.numbers_in("text")).cast("long").alias("numbers"))
 
 
-@query()
-def T9_critical_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(T.critical_tokens("text")).alias("critical"))
-
-
-@query()
-def T11_redact(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact("text").cast("binary")).alias("redacted"))
+HALVES_SQL = "SELECT doc_id, text, CAST(length(text) // 2 AS INT) AS h, length(text) AS n, doc_id % 5 AS k FROM documents WHERE length(text) >= 40"
 
 
-@query("SELECT doc_id, 'pasted.txt' AS filename FROM documents WHERE false")
+@query(
+    rf"WITH c AS (SELECT doc_id, text AS whole, 0 AS ord, 0 AS s, h AS e, CASE WHEN k = 3 THEN '?' || substr(text, 2, h - 1) ELSE substr(text, 1, h) END AS body FROM ({HALVES_SQL}) UNION ALL "
+    rf"SELECT doc_id, text, 1, CASE k WHEN 1 THEN h - 1 WHEN 2 THEN h + 9 ELSE h END, CASE WHEN k = 4 THEN n - 9 ELSE n END, "
+    rf"substr(text, CASE k WHEN 1 THEN h - 1 WHEN 2 THEN h + 9 ELSE h END + 1, CASE WHEN k = 4 THEN n - 9 ELSE n END - CASE k WHEN 1 THEN h - 1 WHEN 2 THEN h + 9 ELSE h END) FROM ({HALVES_SQL})), "
+    r"p AS (SELECT doc_id, ord, CASE WHEN s < b THEN 'overlap' WHEN regexp_replace(substr(whole, b + 1, s - b), '\s', '', 'g') <> '' THEN 'gap' WHEN substr(whole, s + 1, e - s) <> body THEN 'drift' "
+    r"WHEN ord = 1 AND regexp_replace(substr(whole, e + 1), '\s', '', 'g') <> '' THEN 'tail' END AS problem FROM (SELECT *, CASE WHEN ord = 0 THEN 0 ELSE lag(e) OVER (PARTITION BY doc_id ORDER BY ord) END AS b FROM c)) "
+    "SELECT doc_id, CAST(ord AS VARCHAR) AS id, problem FROM p WHERE problem IS NOT NULL"
+)
 def C21_tiling(spark, sf_dir):
+    """Documents in two halves, of which each fifth has another fault and a fifth none."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 40).select("doc_id", "text")
+    n, k = F.length("text"), F.col("doc_id") % 5
+    h = F.floor(n / 2).cast("int")
+    second = F.when(k == 1, h - 1).when(k == 2, h + 9).otherwise(h)
+    bounds = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).alias("s"), h.alias("e")), F.struct(F.lit(1).alias("ord"), second.alias("s"), F.when(k == 4, n - 9).otherwise(n).alias("e")))
+    rows = docs.select("doc_id", "text", F.inline(bounds))
+    body = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+    altered = F.when((k == 3) & (F.col("ord") == 0), F.concat(F.lit("?"), F.substring(body, F.lit(2), F.length(body)))).otherwise(body)
+    chunks = rows.select("doc_id", F.col("ord").cast("string").alias("id"), "ord", F.col("s").alias("start_char"), F.col("e").alias("end_char"), altered.alias("text"))
+    return C.tiling_problems(chunks, docs)
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS problems FROM documents")
+def C20_chunks_tile(spark, sf_dir):
+    """Every document's own chunks cover it without overlap, gap or drift."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("notes.md").alias("name"), "text")
-    return C.tiling_problems(C.chunk(docs), docs).select("doc_id", F.col("problem").alias("filename"))
-
-
-@query()
-def C1_detect_kind(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.detect_kind(F.col("url"), F.col("html")).alias("kind"))
-
-
-@query()
-def C4_log_records(spark, sf_dir):
-    # One log for each user: records in event order.
-    lines = event_lines(spark, sf_dir)
-    docs = lines.groupBy(F.col("user_id").alias("doc_id")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text")
-    )
-    return log_records(docs.withColumn("name", F.lit("api.log"))).select("doc_id", "ord", "template", "level", "lines", "token_count", "start_line", "start_char")
+    found = C.tiling_problems(C.chunk(docs), docs).groupBy("doc_id").agg(F.count("*").alias("problems"))
+    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["problems"])
 
 
 @query(f"SELECT event_id, regexp_extract(line, '\\b(TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL|SEVERE)\\b', 1) AS level FROM ({LINES_SQL})")
@@ -169,40 +172,24 @@ def C11_sentence_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentence_pieces("text")).cast("long").alias("pieces"))
 
 
-@query()
-def C11_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences("text")).alias("sentences"))
-
-
 @query()
 def C20_prose_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("notes.md").alias("name"), "text")
     return C.chunk(docs).select("doc_id", "id", "ord", "kind", "start_line", "end_line", "start_char", "end_char", "token_count", "merged_parts", "split_part")
 
 
-@query()
-def C22_chunk_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("notes.md").alias("name"), "text")
-    return C.chunk_stats(C.chunk(docs))
-
-
 @query(f"SELECT page_id, 'txt:' || md5({squeeze_sql('html')}) AS key FROM pages")
 def D1_dedup_key(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.lit(None).cast("string").alias("template"))
     return rows.select("page_id", D.dedup_key().alias("key"))
 
 
-FIRST_SQL = f"SELECT conv_id AS doc_id, turn, text, first_value(turn) OVER (PARTITION BY conv_id, {squeeze_sql('text')} ORDER BY turn) AS root FROM conversations"
+FIRST_SQL = f"SELECT lang AS doc_id, doc_id AS ord, text, first_value(doc_id) OVER (PARTITION BY lang, {squeeze_sql('text')} ORDER BY doc_id) AS root FROM documents"
 
 
-@query(f"SELECT doc_id, CAST(turn AS INT) AS ord, CAST(root AS VARCHAR) AS root FROM ({FIRST_SQL})")
+@query(f"SELECT doc_id, ord, CAST(root AS VARCHAR) AS root FROM ({FIRST_SQL})")
 def D2_exact_dedup(spark, sf_dir):
-    return D.deduplicate(turns(spark, sf_dir)).select("doc_id", "ord", "root")
-
-
-@query()
-def D4_structural(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.array_join(D.shape("html"), " ").cast("binary")).alias("shape"))
+    return D.deduplicate(by_source(spark, sf_dir, "lang")).select("doc_id", "ord", "root")
 
 
 @query()
@@ -212,17 +199,18 @@ def D7_leader_clusters(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id, CAST(root AS VARCHAR) AS representative_id, count(*) + 1 AS size, CAST(sum({tokens_sql('text')}) AS BIGINT) AS absorbed_tokens FROM ({FIRST_SQL}) WHERE root <> turn GROUP BY doc_id, root"
+    f"SELECT doc_id, CAST(root AS VARCHAR) AS representative_id, count(*) + 1 AS size, CAST(sum({tokens_sql('text')}) AS BIGINT) AS absorbed_tokens FROM ({FIRST_SQL}) WHERE root <> ord GROUP BY doc_id, root"
 )
 def D10_clusters(spark, sf_dir):
-    return D.clusters(D.deduplicate(turns(spark, sf_dir))).select("doc_id", "representative_id", F.col("size").cast("long").alias("size"), "absorbed_tokens")
+    return D.clusters(D.deduplicate(by_source(spark, sf_dir, "lang"))).select("doc_id", "representative_id", F.col("size").cast("long").alias("size"), "absorbed_tokens")
 
 
 @query(
-    f"SELECT doc_id, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN root = turn THEN t ELSE 0 END) AS BIGINT) AS tokens_out, CAST(sum(CASE WHEN root <> turn THEN t ELSE 0 END) AS BIGINT) AS claimed FROM (SELECT *, {tokens_sql('text')} AS t FROM ({FIRST_SQL})) GROUP BY doc_id"
+    f"SELECT doc_id, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN root = ord THEN t ELSE 0 END) AS BIGINT) AS tokens_out, CAST(sum(CASE WHEN root <> ord THEN t ELSE 0 END) AS BIGINT) AS claimed, "
+    f"CAST(count(*) FILTER (root <> ord) AS BIGINT) AS absorbed FROM (SELECT *, {tokens_sql('text')} AS t FROM ({FIRST_SQL})) GROUP BY doc_id"
 )
 def D11_accounting(spark, sf_dir):
-    return D.accounting(D.deduplicate(turns(spark, sf_dir))).select("doc_id", "tokens_in", "tokens_out", "claimed")
+    return D.accounting(D.deduplicate(by_source(spark, sf_dir, "lang"))).select("doc_id", "tokens_in", "tokens_out", "claimed", "absorbed")
 
 
 ENTROPY_SQL = (
@@ -252,12 +240,6 @@ def N3_tfidf(spark, sf_dir):
     return N.tfidf(by_source(spark, sf_dir)).select("id", r6("tfidf").alias("tfidf"))
 
 
-@query()
-def N4_entities(spark, sf_dir):
-    counts = T.entity_counts("text")
-    return table(spark, sf_dir, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.*", T.entity_weight(F.col("c")).alias("weight"))
-
-
 @query(
     "WITH d AS (SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY ALL), "
     "n AS (SELECT label, sqrt(sum(m * m)) AS n FROM d GROUP BY label), "
@@ -306,12 +288,12 @@ def N12_density(spark, sf_dir):
 BUDGET_SQL = f"SELECT source, doc_id, {tokens_sql('text')} AS t, n_chars FROM documents"
 
 
-def budget_sql(key: str, limit: str) -> str:
+def budget_sql(key: str, limit: str, least: int) -> str:
     return (
         f"WITH d AS ({BUDGET_SQL}), g AS (SELECT source, {limit} AS lim, list({{'id': doc_id, 't': t}} ORDER BY {key}) AS rows FROM d GROUP BY source), "
-        "f AS (SELECT source, list_reduce(rows, lambda s, r: CASE WHEN s.used + r.t <= lim OR len(s.ids) < 1 THEN {'used': s.used + r.t, 'ids': list_append(s.ids, r.id)} ELSE s END, "
+        "f AS (SELECT source, list_reduce(rows, lambda s, r: CASE WHEN s.used + r.t <= lim OR len(s.ids) < LEAST THEN {'used': s.used + r.t, 'ids': list_append(s.ids, r.id)} ELSE s END, "
         "{'used': 0, 'ids': []::BIGINT[]}) AS s FROM (SELECT source, lim, rows FROM g)) SELECT source, unnest(s.ids) AS doc_id FROM f"
-    )
+    ).replace("LEAST", str(least))
 
 
 def select_by(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
@@ -336,23 +318,6 @@ def K6_random_select(spark, sf_dir):
     return select_by(spark, sf_dir, "random")
 
 
-CODE = (
-    ("load_settings", "function", "def load_settings(path):\n    return parse_lines(path)", 40, True),
-    ("parse_lines", "function", "def parse_lines(path):\n    return path", 20, False),
-    ("Store.fetch_row", "method", "def fetch_row(self, key):\n    return self.decode_row(key)", 30, True),
-    ("Store.decode_row", "method", "def decode_row(self, key):\n    return key", 25, False),
-    ("walk_tree", "function", "def walk_tree(node):\n    return walk_tree(node)", 15, True),
-)
-
-
-@query(
-    "SELECT CAST(1 AS BIGINT) AS doc_id, * FROM (VALUES ('#0', 'parse_lines', '#1', 20), ('#2', 'decode_row', '#3', 25)) t(referrer_id, symbol, definition_id, definition_tokens)"
-)
-def K9_broken_dependencies(spark, sf_dir):
-    rows = [(1, f"#{i}", i, s, k, t, n, sel) for i, (s, k, t, n, sel) in enumerate(CODE)]
-    return K.broken(spark.createDataFrame(rows, "doc_id bigint, id string, ord int, symbol string, kind string, text string, token_count int, selected boolean"))
-
-
 RUNS_SQL = (
     "SELECT source, doc_id, n_chars, selected, sum(CAST(selected AS INT)) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM (SELECT *, n_chars > 1000 AS selected FROM documents)"
 )
@@ -368,35 +333,30 @@ def R1_drop_runs(spark, sf_dir):
     return R.drop_runs(rows).select(F.col("doc_id").alias("source"), F.col("ord").alias("first_doc"), "sections", "tokens")
 
 
-_runs: dict[tuple[str, str], Compression] = {}
+_runs: dict[tuple, Compression] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of each file of a table: what it reads changes if one of them does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def marked(spark: SparkSession, sf_dir: str) -> Compression:
-    """The compression of all documents; its stages are written tables, so one run serves several queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The compression of all documents; its stages are written tables, so one run serves several queries until the table changes."""
+    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _runs:
+        for old in list(_runs):
+            run = _runs.pop(old)
+            if old[0] == key[0]:
+                run.release()
         docs = table(spark, sf_dir, "documents")
         name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
         _runs[key] = compress(docs.select("doc_id", name.alias("name"), "text"))
     return _runs[key]
 
 
-@query()
-def R2_markers(spark, sf_dir):
-    return marked(spark, sf_dir).markers.select("doc_id", "marker_id", "kind", "sections", "tokens", "text")
-
-
-@query()
-def R9_spans(spark, sf_dir):
-    return R.spans(marked(spark, sf_dir).survivors)
-
-
-@query()
-def R10_expand(spark, sf_dir):
-    c = marked(spark, sf_dir)
-    return R.expand(c.markers, c.chunks)
-
-
 @query()
 def R12_stage_metrics(spark, sf_dir):
     return marked(spark, sf_dir).stage_metrics()
@@ -413,26 +373,6 @@ def compress_by_language(spark, sf_dir):
     )
 
 
-@query()
-def A2_rewrite_verdicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"), T.token_count("text").alias("token_count"), T.truncate("text", 300).alias("candidate"))
-    return A.verdicts(rows).select("doc_id", "reason", "accepted")
-
-
-@query(
-    "SELECT context, CAST(sum(p) AS BIGINT) AS present, CAST(sum(f) AS BIGINT) AS facts FROM (SELECT d.lang AS context, 1 AS f, "
-    "CAST(bool_or(contains(lower(d.text), lower(i.fact))) AS INT) AS p FROM documents d, (SELECT item_id, regexp_extract(text, '[a-z]{6,}', 0) AS fact FROM benchmark) i WHERE i.fact <> '' GROUP BY d.lang, i.item_id) "
-    "GROUP BY ROLLUP (context)"
-)
-def E3_fact_survival(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("context")).agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
-    fact = F.regexp_extract("text", "[a-z]{6,}", 0)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array(F.array(fact)).alias("key_facts")).where(F.col("key_facts")[0][0] != "")
-    contexts = texts.select("context")
-    asked = items.join(F.broadcast(contexts), F.lit(True))  # a context per language
-    return V.fact_survival(asked, texts).select("context", F.col("present").cast("long").alias("present"), F.col("facts").cast("long").alias("facts"))
-
-
 @query(
     f"SELECT lang, round(sum({tokens_sql('text')}) * 0.15 / 1e6, 8) AS cost FROM documents GROUP BY lang"
 )
@@ -555,5 +495,5 @@ def R11_summary(spark, sf_dir):
     return marked(spark, sf_dir).summary()
 
 
-ORACLES["K4_budget_select"] = budget_sql("n_chars DESC, doc_id", "greatest(1, CAST(floor(greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT)) * 0.97) AS INT))")
-ORACLES["K5_truncate_select"] = budget_sql("doc_id", "greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT))")
+ORACLES["K4_budget_select"] = budget_sql("n_chars DESC, doc_id", "greatest(1, CAST(floor(greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT)) * 0.97) AS INT))", 1)
+ORACLES["K5_truncate_select"] = budget_sql("doc_id", "greatest(1, CAST(round_even(sum(t) * 0.3, 0) AS INT))", 0)

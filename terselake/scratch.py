@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,38 @@ def root(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The folders of the tables that are written inside, for :func:`drop`."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes scratch tables; results that still read them must have been written before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    paths.clear()
+
+
+def path(spark: SparkSession, label: str) -> str:
+    """A new folder in there."""
+    found = f"{root(spark)}/terselake-{label}-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(found)
+    return found
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` there and reads it back: later plans start from the table, and its stages aren't run twice."""
-    path = f"{root(df.sparkSession)}/terselake-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = path(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -6,22 +6,26 @@ import os
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any
 
-from ..operators.density import WEIGHTS
+from ..operators.dedup import MIN_SHAPE_TOKENS, THRESHOLD, THRESHOLDS
+from ..operators.density import FREQUENCY_BOOST, WEIGHTS
+from ..operators.evaluate import DEFAULT_MODEL, PRICES, WINDOW
+from ..operators.prose import Chunking
+from ..operators.rewrite import OVERLAP, STAGE_SECONDS
 
 
 @dataclass(frozen=True)
 class Dedup:
     exact: bool = True
     structural: bool = True
-    min_shape_tokens: int = 30
-    similarity: float | None = None
-    thresholds: dict[str, float] = field(default_factory=lambda: {"local": 0.88, "cohere": 0.84})
+    min_shape_tokens: int = MIN_SHAPE_TOKENS
+    similarity: float = THRESHOLD
+    thresholds: dict[str, float] = field(default_factory=lambda: dict(THRESHOLDS))
 
 
 @dataclass(frozen=True)
 class Density:
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
-    frequency_boost: float = 0.05
+    frequency_boost: float = FREQUENCY_BOOST
 
 
 @dataclass(frozen=True)
@@ -39,12 +43,32 @@ class Reconstruction:
     cluster_markers: bool = True
 
 
+@dataclass(frozen=True)
+class Rewrite:
+    enabled: bool = True
+    min_tokens: int = 150
+    max_chunks: int = 12
+    overlap: float = OVERLAP
+    numbers: bool = True
+    stage_seconds: float = STAGE_SECONDS
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    model: str = DEFAULT_MODEL
+    num_ctx: int = WINDOW
+    prices: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(PRICES))
+
+
 @dataclass(frozen=True)
 class Config:
+    chunking: Chunking = Chunking()
     dedup: Dedup = Dedup()
     density: Density = Density()
     selection: Selection = Selection()
     reconstruction: Reconstruction = Reconstruction()
+    rewrite: Rewrite = Rewrite()
+    evaluation: Evaluation = Evaluation()
 
     def with_overrides(self, changes: dict[str, Any] | None) -> Config:
         """Deep merge; a None leaves what is there."""

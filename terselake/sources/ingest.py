@@ -177,20 +177,27 @@ def synthetic_log(spark: SparkSession, records: int = 2400, seed: int = 7, windo
     return spark.range(records).select(F.col("id").alias("no"), F.concat(time, F.lit(" "), level, F.lit(" checkout [eu-west-1] "), message, tail).alias("line"))
 
 
-def with_protected(chunks: DataFrame, query: str | None = None, instruction: str | None = None) -> DataFrame:
-    """Puts an instruction and a query before each document's chunks, never to be dropped."""
-    texts = [(k, t.strip()) for k, t in (("instruction", instruction), ("query", query)) if t and t.strip()]
-    if not texts:
-        return chunks
-    names = chunks.columns
+def with_protected(chunks: DataFrame, query: str | DataFrame | None = None, instruction: str | None = None) -> DataFrame:
+    """Puts an instruction and a query before each document's chunks, never to be dropped.
+
+    ``query`` is one text for all, or a table (doc_id, query) with each document's own; an empty one isn't put.
+    """
+    one = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.trim(text).alias("text"))
     docs = chunks.groupBy("doc_id").agg(F.first("source").alias("source"))
-    out = chunks.withColumn("ord", F.col("ord") + len(texts))
-    for k, (kind, text) in enumerate(texts):
-        values = {
-            "doc_id": F.col("doc_id"), "source": F.col("source"), "id": F.concat(F.lit(f"{kind}#"), F.lit(f"{k:04d}:{kind}")), "ord": F.lit(k),
-            "kind": F.lit(kind), "text": F.lit(text), "start_char": F.lit(-1), "end_char": F.lit(-1), "start_line": F.lit(0), "end_line": F.lit(0),
-            "token_count": T.token_count(F.lit(text)),
-        }
-        types = dict(chunks.dtypes)
-        out = out.unionByName(docs.select(*[values.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names]))
-    return out
+    asked = F.lit(query if isinstance(query, str) else None).cast("string")
+    if isinstance(query, DataFrame):
+        docs, asked = docs.join(query.select("doc_id", F.col("query").alias("_query")), "doc_id", "left"), F.col("_query")
+    elif not (query or "").strip() and not (instruction or "").strip():
+        return chunks
+    both = F.array(one("instruction", F.lit(instruction).cast("string")), one("query", asked))
+    docs = docs.select("doc_id", "source", F.filter(both, lambda t: F.coalesce(t["text"], F.lit("")) != "").alias("_put"))
+    number = F.col("_k").cast("int")
+    put = docs.select("doc_id", "source", F.posexplode("_put").alias("_k", "_t"))
+    values = {
+        "doc_id": F.col("doc_id"), "source": F.col("source"), "ord": number, "kind": F.col("_t.kind"), "text": F.col("_t.text"),
+        "id": F.concat("_t.kind", F.lit("#"), F.format_string("%04d", number), F.lit(":"), "_t.kind"),
+        "start_char": F.lit(-1), "end_char": F.lit(-1), "start_line": F.lit(0), "end_line": F.lit(0), "token_count": T.token_count(F.col("_t.text")),
+    }
+    put = put.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in chunks.dtypes])
+    shifted = chunks.join(docs.select("doc_id", F.size("_put").alias("_n")), "doc_id").withColumn("ord", F.col("ord") + F.col("_n"))
+    return shifted.select(*chunks.columns).unionByName(put)

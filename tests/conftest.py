@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from terselake.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = ship(local_session("4", partitions=4, memory="4g", app="tests"))
+    session = ship(local_session(os.environ.get("TEST_CPUS", "4"), partitions=4, memory="4g", app="tests"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

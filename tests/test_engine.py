@@ -135,7 +135,7 @@ def test_selection_skips_what_does_not_fit(spark):
 def test_dependencies_are_mended():
     import pandas as pd
 
-    base = {"doc_id": 1, "kind": "function", "start_line": 1, "end_line": 2, "text": "x y z", "duplicate_count": 1, "method": None, "absorbed_tokens": None, "cluster_id": None}
+    base = {"doc_id": 1, "kind": "function", "start_line": 1, "end_line": 2, "words": 3, "duplicate_count": 1, "method": None, "absorbed_tokens": None, "cluster_id": None}
     rows = pd.DataFrame(
         [
             base | {"id": "call", "ord": 0, "symbol": "call", "token_count": 30, "density": 0.9, "defines": ["call"], "uses": ["helper"]},
@@ -218,3 +218,147 @@ def test_streaming_dedup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 2
+
+
+def test_runs_of_spans_against_a_step_by_step_version():
+    import random
+
+    from terselake.operators import prose as P
+
+    rng = random.Random(4)
+    kinds = ("heading", "paragraph", "list", "code_block", "module_level")
+    for _ in range(300):
+        spans, at = [], 0
+        for _ in range(rng.randint(0, 12)):
+            n = rng.choice((1, 3, 8, 9, 20, 90, 200, 310))
+            spans.append(P.Span(at, at + n * 6, rng.choice(kinds), n))
+            at += n * 6 + 2
+        # Step by step: a span joins what stands before it if the rule allows, else it stands on its own.
+        ahead = []
+        for s in spans:
+            last = ahead[-1] if ahead else None
+            if last and last["opens"] and P.estimate(last["n"]) < 12 and s.kind != "code_block" and P.estimate(last["n"] + s.words) <= 400:
+                ahead[-1] = {"a": last["a"], "b": s.end, "n": last["n"] + s.words, "kind": s.kind, "opens": True, "anchor": True}
+            else:
+                ahead.append({"a": s.start, "b": s.end, "n": s.words, "kind": s.kind, "opens": s.kind == "heading", "anchor": False})
+        out = []
+        for s in ahead:
+            last = out[-1] if out else None
+            small = last and (P.estimate(last["n"]) < 12 or P.estimate(s["n"]) < 12)
+            if small and "code_block" not in (last["kind"], s["kind"]) and s["kind"] != "heading" and not s["anchor"] and P.estimate(last["n"]) + P.estimate(s["n"]) <= 400:
+                kind = last["kind"] if last["b"] - last["a"] >= s["b"] - s["a"] else s["kind"]
+                out[-1] = {**last, "b": s["b"], "n": last["n"] + s["n"], "kind": kind}
+            else:
+                out.append(s)
+        assert [(s.start, s.end, s.kind, s.words) for s in P.merge_small(spans)] == [(s["a"], s["b"], s["kind"], s["n"]) for s in out]
+
+
+def test_large_texts_are_packed_to_the_target():
+    from terselake.operators import prose as P
+
+    text = " ".join(f"Sentence {i} says that shard {i * 3} of the store was slow again today." for i in range(80))
+    spans = spans_of(text, "a.md")
+    assert len(spans) > 5 and all(s.tokens <= 120 for s in spans) and [s.split_part for s in spans] == list(range(len(spans)))
+    assert all(a.tokens + P.estimate(P.words(text[b.start : text.index(".", b.start) + 1])) > 120 for a, b in zip(spans, spans[1:], strict=False))
+    wide = spans_of(text, "a.md", sizes=P.Chunking(target_tokens=300))
+    assert len(wide) < len(spans) and len(spans_of(text, "a.md", sizes=P.Chunking(max_tokens=10**6))) == 1
+
+
+def test_a_module_with_few_errors_is_still_split():
+    good = "".join(f"def f{i}(x):\n    y = x + {i}\n    return y * 2\n\n\n" for i in range(6))
+    kinds = [(s.kind, s.symbol) for s in python_spans("import os\n\n" + good + "def broken(:\n    pass\n")]
+    assert [k for k in kinds if k[0] == "function"] == [("function", f"f{i}") for i in range(6)] and kinds[-1][0] == "module_level"
+    assert python_spans("def a(:\n    x\n\ndef b(:\n    y\n\ndef c(x):\n    return x\n") is None
+
+
+def test_lines_and_totals_of_chunks(spark):
+    text = "\n\n# One\n\n" + "\n".join(f"line {i} of the first part with a few more words" for i in range(5)) + "\n\n- a\n- b\n\n\nEnd of it all, which is long enough to stay on its own here."
+    for r in C.chunk(docs(spark, ("a.md", text))).collect():
+        assert r["text"] == text[r["start_char"] : r["end_char"]]
+        assert r["start_line"] == 1 + text[: r["start_char"]].count("\n") and r["end_line"] == 1 + text[: r["end_char"]].count("\n")
+        assert r["token_count"] == one(spark, T.token_count("t"), t=r["text"])
+
+
+def test_each_document_its_own_question(spark):
+    from terselake.plans.compress import compare_strategies, compress_items
+
+    parts = [f"Node {i} of the fleet restarted after {i * 31} ms because its cache of shard {i * 7} was cold, slow and nearly full." for i in range(30)]
+    contexts = spark.createDataFrame([("fleet", "fleet.md", "\n\n".join(parts)), ("empty", "e.md", "")], "context string, name string, text string")
+    items = spark.createDataFrame([("a", "fleet", "what of node 7?", [["217"]]), ("b", "fleet", "what of node 9?", [["279"]]), ("c", "fleet", "what of node 7?", [["node 1"]])], "id string, context string, question string, key_facts array<array<string>>")
+    both, run = compress_items(items, contexts, embedder=E.hashing_embedder(64))
+    ids = {r["id"]: r["doc_id"] for r in both.collect()}
+    texts = {r["doc_id"]: r["compressed"] for r in run.texts.collect()}
+    assert ids["a"] == ids["c"] != ids["b"] and len(texts) == 2
+    assert "what of node 7?" in texts[ids["a"]] and "what of node 9?" in texts[ids["b"]] and "what of node 9?" not in texts[ids["a"]]
+    metrics = {r["doc_id"]: r for r in run.rebuild_metrics().collect()}
+    assert all(m["markers"] > 0 and 0 < m["content_tokens"] < m["tokens_out"] for m in metrics.values())
+    run.release()
+    found = {(r["strategy"], r["ratio"], r["context"]): r for r in compare_strategies(items, contexts).collect()}
+    assert len(found) == 9 * 2 and all(r["facts"] == 3 for r in found.values())
+    assert all(found[s, 0.15, None]["tokens"] < found[s, 0.5, None]["tokens"] for s in ("truncate", "random", "density"))
+
+
+def test_settings_are_read(spark):
+    c = config.load(overrides={"chunking": {"target_tokens": 50}, "dedup": {"min_shape_tokens": 5}, "density": {"frequency_boost": 0.5}, "rewrite": {"overlap": 0.5}, "evaluation": {"num_ctx": 10}})
+    assert (c.chunking.target_tokens, c.dedup.min_shape_tokens, c.density.frequency_boost, c.rewrite.overlap, c.evaluation.num_ctx) == (50, 5, 0.5, 0.5, 10)
+    text = " ".join(f"Sentence {i} says that shard {i * 3} of the store was slow again today." for i in range(80))
+    few, many = (compress(docs(spark, ("a.md", text)), config=x).chunks.count() for x in (None, c))
+    assert many > few
+    assert D.threshold("x", {"x": 0.7}) == (0.7, None) and D.threshold("y", {"x": 0.7}, 0.6)[0] == 0.6
+    shape = "def {n}(v):\n    return v + 1"
+    rows = [(1, str(i), i, "function", shape.format(n=n), 9) for i, n in enumerate("ab")]
+    df = spark.createDataFrame(rows, "doc_id bigint, id string, ord int, kind string, text string, token_count int").withColumns({x: F.lit(None).cast("string") for x in ("template", "symbol", "level")})
+    assert D.deduplicate(df).where("leader is not null").count() == 0 and D.deduplicate(df, min_shape_tokens=5).where("leader is not null").count() == 1
+
+
+def test_judge_is_asked_no_more_after_failures():
+    calls = []
+
+    def ask(answer):
+        calls.append(answer)
+        return {"yes": 'so {"correct": true}', "no": '{"correct": false}', "odd": "{not json}"}.get(answer)
+
+    assert V.judged(["yes", "no", "odd", "", None, "yes"], ask) == [True, False, None, None, None, True]
+    calls.clear()
+    assert V.judged(["x", "yes", "x", "x", "x", "yes"], ask) == [None, True, None, None, None, None] and calls == ["x", "yes", "x", "x", "x"]
+
+
+def test_a_cut_original_is_an_error(spark):
+    items = spark.createDataFrame([("a", 10), ("b", 20_000)], "id string, original_tokens int")
+    assert V.guard_window(items, local=False).count() == 2 and V.guard_window(items.where("id = 'a'"), local=True).collect()[0]["original_tokens"] == 10
+    with pytest.raises(Exception, match="b: 20000 tokens"):
+        V.guard_window(items, local=True).collect()
+
+
+def test_chains_embed_and_rewrite(spark):
+    def quota(*_):
+        raise ValueError("quota")
+
+    sizes = []
+
+    def local(texts):
+        sizes.append(len(texts))
+        return E.hashing_embedder(8)(texts)
+
+    rows = docs(spark, ("a", "one two"), ("b", "three"))
+    found = E.embed(rows, E.Chain([("openai", True, quota), ("local", True, local)])).collect()
+    assert all(len(r["vector"]) == 8 for r in found) and sizes == [1]
+    with pytest.raises(RuntimeError, match="openai: failed quota"):
+        E.embed(rows, E.Chain([("openai", True, quota)]))
+    text = " ".join(["plain"] * 200)
+    chunk = [(1, "a", 0, "paragraph", text, 260, True, None)]
+    df = spark.createDataFrame(chunk, "doc_id bigint, id string, ord int, kind string, text string, token_count int, selected boolean, symbol string")
+    chain = E.Chain([("groq", True, quota), ("local", True, lambda t, seconds: " ".join(t.split()[:190]))])
+    out, judged, why = A.rewrite(df, chain, overlap=0.5)
+    assert why is None and out.first()["compressed_text"] is not None and judged.count() == 1
+    assert A.rewrite(df, E.Chain([("groq", False, quota)]))[2] == "no model is available"
+
+
+def test_largest_clusters_and_protected_questions(spark):
+    found = spark.createDataFrame([(1, i, n) for i, n in enumerate((2, 5, 5, 3))], "doc_id bigint, cluster_id int, size int")
+    assert [(r["cluster_id"], r["place"]) for r in D.largest_clusters(found, 3).orderBy("place").collect()] == [(1, 1), (2, 2), (3, 3)]
+    chunks = C.chunk(docs(spark, ("a.md", "Some words to keep."), ("b.md", "Other words to keep.")))
+    asks = spark.createDataFrame([(0, "why?"), (1, " ")], "doc_id bigint, query string")
+    rows = {(r["doc_id"], r["ord"]): r["kind"] for r in ingest.with_protected(chunks, asks).collect()}
+    assert rows == {(0, 0): "query", (0, 1): "paragraph", (1, 0): "paragraph"}
+    assert ingest.with_protected(chunks) is chunks
