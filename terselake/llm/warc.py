@@ -5,24 +5,27 @@ the header's fields; the converter reads each record's header by those names (ve
 them) and its body by the declared length, so content that looks like a header can't mislead it. Each
 record gets a WARC identifier (a UUID of its own fields), an ISO timestamp, a type and SHA-256 digests.
 
-Archives are written by Spark's text writer, record by record, in gzip files of at most ``FILE_RECORDS``
-records, so they land on any file system Spark writes to and are committed task by task. They are read
-with ``binaryFile`` and again parsed by declared length.
+Content is bytes from end to end, so pages in any encoding and images come through as they are. Every record is a
+gzip member of its own and can be read from its offset alone. Spark's text writer puts the members one after
+another, with an empty member for its line end, so files land on any file system Spark writes to and are committed
+task by task. ``FILE_BYTES`` bounds a file: the larger the records of a size class, the fewer go into one. Files
+are read with ``binaryFile`` and again parsed member by member, by declared length.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import join_counted, materialise, small
 
 #: Fixed values of the two formats.
 ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -31,12 +34,19 @@ WARC = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ARCHIVE_BYTES = 4 << 20
-FILE_RECORDS = 2000
+FILE_BYTES = 128 << 20
+#: The largest content of each size class of records; a larger one has a file of its own.
+CLASSES = (1 << 16, 1 << 20, 1 << 24)
 MIN_DUPLICATE = 100
+#: Bytes that the reader unpacks at once.
+STEP = 1 << 16
+#: A gzip member of no bytes.
+_EMPTY = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 _UNSAFE = re.compile(r"[\s\x00-\x1f\x7f]")
+_BYTE = re.compile("[\udc80-\udcff]")
 RECORD = (
     "page_id long, uri string, warc_date string, warc_type string, record_id string, block_digest string, "
-    "payload_digest string, payload_bytes long, http string, payload string"
+    "payload_digest string, payload_bytes long, http binary, payload binary"
 )
 
 
@@ -80,14 +90,17 @@ def arc_archives(pages: DataFrame, *, date: str = "20240101000000") -> DataFrame
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of every record; a record cut off at the end of the archive is an error."""
+    """(header fields, content) of every record; a record cut off at the end of the archive is an error.
+
+    A byte of a header line that isn't UTF-8 is percent-encoded.
+    """
     fields, at = ARC_V1.split(" "), 0
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
+        line = _BYTE.sub(lambda m: f"%{ord(m[0]) - 0xDC00:02X}", data[at:end].decode("utf-8", "surrogateescape")).rstrip("\r")
         values = line.split(" ")
         head = line.startswith("filedesc://")
         length = int(values[-1])
@@ -113,34 +126,52 @@ def _iso(stamp: str) -> str:
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """ARC archives (arc binary) to WARC records in columns; content without an HTTP head is all payload."""
+    """ARC archives (arc binary) to WARC records in columns; content without an HTTP head is all payload.
+
+    A record's identifier is a UUID of its fields, its task and its number there, so repeated rows differ in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        names, types = zip(*(f.split(" ") for f in RECORD.split(", ")), strict=True)
+        task, n = TaskContext.get().partitionId(), 0
         for b in batches:
             for arc in b.column(0):
-                cols: list[list] = [[] for _ in range(10)]
+                cols: list[list] = [[] for _ in names]
                 for header, content in parse_arc(arc.as_py()):
                     cut = content.find(b"\r\n\r\n") if content.startswith(b"HTTP/") else -1
                     http, payload = (content[: cut + 4], content[cut + 4 :]) if cut >= 0 else (b"", content)
                     mine = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
                     digest = hashlib.sha256(payload).hexdigest()
                     page_id = int(mine[1]) if mine else None
-                    name = f"{header['URL']} {header['Archive-date']} {page_id} {digest}"
+                    name = f"{header['URL']} {header['Archive-date']} {page_id} {digest} {task} {n}"
                     row = (
                         page_id, header["URL"], _iso(header["Archive-date"]), header["type"],
-                        str(uuid.uuid5(uuid.NAMESPACE_URL, name)), hashlib.sha256(content).hexdigest(), digest,
-                        len(payload), http.decode("utf-8", "replace"), payload.decode("utf-8", "replace"),
+                        str(uuid.uuid5(uuid.NAMESPACE_URL, name)), hashlib.sha256(content).hexdigest(), digest, len(payload), http, payload,
                     )
+                    n += 1
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                kinds = [pa.int64() if k in (0, 7) else pa.string() for k in range(10)]
-                schema = schema or [f.split(" ")[0] for f in RECORD.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cols, types, strict=True)], list(names))
 
     return arcs.mapInArrow(run, RECORD)
 
 
+def mark_revisits(records: DataFrame, least: int = MIN_DUPLICATE) -> DataFrame:
+    """Adds ``refers_to``, ``refers_id``: of equal payloads of ``least`` bytes or more, the smallest page_id's record.
+
+    Null for that record itself and for records without an equal. Rows that share the smallest page_id are
+    all responses; a null page_id is never the smallest, and a group of nulls only stays as it is.
+    """
+    slim = records.where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= least)).select("payload_digest", "page_id", "record_id")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))
+    first = slim.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(named).alias("first")).where("n > 1 and first is not null")
+    # Digests are matched without payloads; what comes out has a row per revisit, and they are mostly few.
+    revisits = join_counted(slim, materialise(first, "firsts"), "payload_digest", slim.count()).where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    revisits = materialise(revisits.select("record_id", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_id")), "revisits")
+    return records.join(small(revisits), "record_id", "left")
+
+
 def mark_revisits(records: DataFrame, least: int = MIN_DUPLICATE) -> DataFrame:
     """Adds ``refers_to``, ``refers_id``: of equal payloads of ``least`` bytes or more, the smallest page_id's record.
 
@@ -171,7 +202,7 @@ def write(records: DataFrame, path: str) -> None:
     """Writes records, with ``refers_to`` and ``refers_id``, as gzip WARC files. A revisit has no payload."""
     revisit = F.col("refers_id").isNotNull()
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
-    http = F.col("http") != ""
+    http = F.octet_length("http") > 0
     kind = F.when(F.col("warc_type") == "warcinfo", "text/plain").when(http, "application/http; msgtype=response").otherwise("text/html")
     uri = F.when(F.col("warc_type") != "warcinfo", F.col("uri"))
     header = _fields(
@@ -188,26 +219,55 @@ def write(records: DataFrame, path: str) -> None:
         ("X-Payload-Length", F.col("payload_bytes").cast("string")),
         ("Content-Length", F.octet_length(block).cast("string")),
     )
-    records.select(F.concat(F.lit(f"{WARC}\r\n"), header, F.lit("\r\n"), block).alias("value")).write.option(
-        "lineSep", "\r\n\r\n"
-    ).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    head = F.concat(F.lit(f"{WARC}\r\n"), header, F.lit("\r\n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, n = [], 0
+            for h, x in zip(b.column(0), b.column(1), strict=True):
+                packer = zlib.compressobj(wbits=31)
+                held.append(b"".join([packer.compress(h.as_py().encode()), packer.compress(x.as_py()), packer.compress(b"\r\n\r\n"), packer.flush()]))
+                n += len(held[-1])
+                if n >= ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                    held, n = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    used = [r[0] for r in records.select(sum((size > n).cast("int") for n in CLASSES).alias("k")).distinct().collect()]
+    for k in sorted(used) or [0]:
+        low, high = (0, *CLASSES)[k], (*CLASSES, None)[k]
+        mine = size <= high if not k else size > low if high is None else (size > low) & (size <= high)
+        members = records.where(mine).select(head.alias("head"), block.alias("block")).mapInArrow(run, "value binary")
+        # A string column carries the bytes as they are, and in this encoding each character of the line end is a byte.
+        members.select(F.col("value").cast("string")).write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1")).option(
+            "maxRecordsPerFile", FILE_BYTES // high if high else 1
+        ).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of every record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *rest = data[at:end].decode().split("\r\n")
+    """(header, block) of every record of a file, member by member and by declared lengths."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        packed, parts = zlib.decompressobj(wbits=31), []
+        while not packed.eof:
+            if at >= len(view):
+                raise ValueError("a WARC file ends within a record")
+            parts.append(packed.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(view))
+        at -= len(packed.unused_data)
+        record = b"".join(parts)
+        if not record:
+            continue
+        end = record.index(b"\r\n\r\n")
+        first, *rest = record[:end].decode().split("\r\n")
         if first != WARC:
             raise ValueError(f"not a WARC record: {first[:50]}")
         header = dict(x.split(": ", 1) for x in rest)
         length = int(header["Content-Length"])
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
+        if len(record) != end + 8 + length or record[-4:] != b"\r\n\r\n":
             raise ValueError(f"a WARC record doesn't end where its length says: {rest[:3]}")
-        yield header, block
-        at = end + 8 + length
+        yield header, record[end + 4 : end + 4 + length]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -215,13 +275,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A stored payload's digest and length are those of its bytes as read; a mismatch with the header is an error.
     """
-    schema = "page_id long, uri string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "page_id long, uri string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 cols: list[list] = [[] for _ in range(7)]
-                for header, block in parse_warc(gzip.decompress(content.as_py())):
+                for header, block in parse_warc(content.as_py()):
                     kind = header["WARC-Type"]
                     if kind == "warcinfo":
                         continue
@@ -234,16 +294,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     to = header.get("X-Refers-To-Page-Id")
                     row = (
                         int(mine[1]) if mine else None, header["WARC-Target-URI"],
-                        None if payload is None else payload.decode("utf-8", "replace"), n, digest, kind, int(to) if to else None,
+                        payload, n, digest, kind, int(to) if to else None,
                     )
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                kinds = [pa.int64() if k in (0, 3, 6) else pa.string() for k in range(7)]
+                kinds = [pa.int64() if k in (0, 3, 6) else pa.binary() if k == 2 else pa.string() for k in range(7)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split(" ")[0] for f in schema.split(", ")]
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
     return files.mapInArrow(run, schema)
 
 
