@@ -1,77 +1,43 @@
-"""Helpers shared by the corpus operators: scratch tables in the shared folder and size-checked broadcasts."""
+"""Helpers shared by the corpus operators: scopes of scratch tables, size-checked broadcasts and components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, materialise, path, written
+
+__all__ = ["components", "join_counted", "let", "lower_ascii", "materialise", "path", "read", "release", "scope", "small"]
+
 #: The largest table that an operator hands to every executor; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: A key that more rows share is joined by broadcast.
 HOT_ROWS = 100
 
-_scope = ["session"]
-_written: dict[str, list[str]] = defaultdict(list)
-_local: list[str] = []
+_scopes: dict[str, list[str]] = defaultdict(list)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from ``spark.checkpoint.dir``.
-
-    Only a local session may go without one; it gets a temporary folder that goes with the process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="terselake-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/terselake-{label}-{uuid.uuid4().hex}"
-    _written[_scope[-1]].append(path)
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
-def scope(name: str):
+def scope(name: str) -> Iterator[None]:
     """Scratch tables written inside belong to ``name``, so that :func:`release` can remove just those."""
-    _scope.append(name)
-    try:
+    with written() as paths:
         yield
-    finally:
-        _scope.pop()
+    _scopes[name] += paths
 
 
-def release(spark: SparkSession, name: str = "session") -> None:
-    """Removes the scratch tables of a scope; results that still read them must have been written before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written.pop(name, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def release(spark: SparkSession, name: str, unless: DataFrame | None = None) -> None:
+    """Removes the scratch tables of a scope, once what reads them has been written; those that ``unless`` reads stay."""
+    used = unless.inputFiles() if unless is not None and _scopes[name] else []
+    kept = [p for p in _scopes[name] if any(p.rsplit("/", 1)[1] in f for f in used)]
+    drop(spark, [] if kept else _scopes[name])
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -108,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): rows (node, root), root the smallest node.
 
     Alternates large-star and small-star steps. Edges live in scratch tables, and only a count and a
-    checksum of the edges reach the driver.
+    checksum of the edges reach the driver. A star's centre has many edges: they are joined by broadcast.
     """
     edges = materialise(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -122,10 +88,11 @@ def components(links: DataFrame) -> DataFrame:
             )
         before = (now["n"], now["x"])
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
+        low = both.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.col("u")).alias("m"))
+        large = join_counted(both, low, "u", 2 * now["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "stars")
+        low = large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+        near = join_counted(large, low, "u", 2 * now["n"])
         small_star = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             near.select("u", F.col("m").alias("v"))
         )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import ann, decontaminate, html_main, line_dedup, packing, sharding, simhash, toxicity, url_graph, warc
-from .common import read, scratch_path
+from .common import path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,7 @@ def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive(read(ship(spark), sf_dir, "pages"), scratch_path(spark, "warc"))
+    found = warc.archive(read(ship(spark), sf_dir, "pages"), path(spark, "warc"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -83,7 +83,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc.doc_id", "text", "lines_removed", "words_removed")
+    return found.select("doc.doc_id", "text", "runs_removed", "words_removed")
 
 
 QUERIES: dict[str, Query] = {
