@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch. A worker holds some batches at a time, so they bound its memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", app: str = "terselake") -> SparkSession:
@@ -29,7 +31,13 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", app
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives this package to the session's Python workers, once per application."""
+    """Gives this package to the session's Python workers, once per application, and Arrow batches a size that keeps them small.
+
+    Bounds that the session sets itself are left as they are.
+    """
+    for key, bound in BATCH.items():
+        if not spark.conf.get(key, ""):
+            spark.conf.set(key, bound)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         folder = tempfile.mkdtemp(prefix="terselake-ship-")
