@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) over all that its predecessor kept; the runner writes its
 result as Parquet and reads that back as the next one's ``docs``. All but the last return the columns of
-documents. A stage's scratch tables go once its result has been written, when the next stage starts.
+documents. A stage's scratch tables go when the next stage starts, unless that reads them, as it does before the
+result between them has been written.
 """
 
 from __future__ import annotations
@@ -41,13 +42,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; documents without doc_id stay, as they can't be told apart."""
+    """One document of each group: that of the smallest doc_id (null last), of several texts with it the one of least hash.
+
+    Documents are told apart by doc_id and text, so one whose doc_id another has is judged by its own text; rows
+    equal in both are copies, of which one stays.
+    """
     with common.scope(SCOPE):
-        found = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-        once = docs.join(found, "doc_id", "left_anti")
-        twice = once.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-        several = once.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return once.join(twice, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
+        rows = simhash.near_duplicates(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+        rows = common.materialise(rows.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key"), "n"), "rows")
+        first = rows.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+        judged = common.join_counted(rows.withColumnRenamed("n", "copies"), first, "root", rows.count())
+        kept = F.col("key") == F.col("first")
+        gone = judged.where(~kept).select(F.col("key.doc_id").alias("_d"), F.col("key.text_hash").alias("_t"))
+        twice = judged.where(kept & (F.col("copies") > 1)).select(F.col("key.doc_id").alias("_d"), F.col("key.text_hash").alias("_t"))
+        same = docs["doc_id"].eqNullSafe(F.col("_d")) & (simhash.text_hash(docs["text"]) == F.col("_t"))
+        several = docs.join(common.small(twice), same, "left_semi").withColumn("_t", simhash.text_hash(F.col("text")))
+        once = docs.join(common.small(gone.unionByName(twice)), same, "left_anti")
+        return once.unionByName(several.dropDuplicates(["doc_id", "_t"]).drop("_t"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         found = decontaminate.contamination(docs, common.read(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
         hit = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
         same = docs["doc_id"].eqNullSafe(F.col("_d")) & (decontaminate.text_hash(docs["text"]) == F.col("_t"))
-        return docs.join(hit, same, "left_anti")
+        return docs.join(common.small(hit), same, "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +77,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _fresh(stage: Callable) -> Callable:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, SCOPE)
+        common.release(spark, SCOPE, unless=docs)
         return stage(ship(spark), docs, sf_dir)
 
     return run_stage
@@ -80,7 +91,7 @@ STAGES = [
     ("packing", _fresh(pack)),
 ]
 
-#: The language model, fingerprint majority and tokenizer have no SQL form; tests hold each stage against brute force.
+#: The language model, fingerprint majority and tokenizer have no SQL form; tests hold the operators and stages against brute force.
 ORACLE_SQL = None
 
 
