@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, materialise
+from .common import components, join_counted, materialise, small
 
 RADIUS = 3
 PARTS = ((0, 22), (22, 43), (43, 64))
@@ -53,9 +53,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def _signed(x: int) -> int:
@@ -128,17 +133,21 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Returns doc_id, fp (signed long) and component_id, a row per row of ``docs`` (doc_id, text).
+    """Returns doc_id, text_hash, fp (signed long), root and component_id, a row per row of ``docs`` (doc_id, text).
 
-    Component: the smallest non-null doc_id reachable by links, null if there is none. A null or empty
-    text has fingerprint zero and is linked like any other; repeated rows come back repeated; other
-    columns are ignored; an empty table gives no rows. Copies share a fingerprint and are one node.
+    Component: the smallest non-null doc_id reachable by links, null if there is none; ``root`` is the smallest
+    fingerprint reachable and names the component also where doc_ids clash. A null or empty text has fingerprint
+    zero and is linked like any other; repeated rows come back repeated; other columns are ignored; an empty table
+    gives no rows. Copies share a fingerprint and are one node.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     groups = materialise(components(materialise(links(nodes.select("fp")), "links")), "components")
-    named = nodes.join(groups, nodes.fp == groups.node)
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    linked = groups.join(least, "root").select(F.col("node").alias("fp"), "component")
-    whole = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
-    return join_counted(fps, materialise(whole, "whole"), "fp", fps.count()).select("doc_id", "fp", "component_id")
+    named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sizes = named.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component_id"))
+    many = materialise(sizes.where("members > 1").withColumnRenamed("members", "n"), "many")
+    rest = named.select("fp", "root", F.col("n").alias("rows"), "least")
+    alone = rest.join(small(many.select("root")), "root", "left_anti").select("fp", "root", "rows", F.col("least").alias("component_id"))
+    linked = join_counted(rest.drop("least"), many, "root", nodes.count()).select("fp", "root", "rows", "component_id")
+    whole = materialise(alone.unionByName(linked).withColumnRenamed("rows", "n"), "whole")
+    return join_counted(fps, whole, "fp", fps.count()).select("doc_id", "text_hash", "fp", "root", "component_id")
