@@ -7,8 +7,11 @@ scanned in column blocks of ``STEP`` dimensions: after each, a hypothesis test o
 drops candidates that are, beyond doubt ``DOUBT``, farther than the block's fifth best so far. Survivors are
 ranked by their exact cosine on the original vectors in double precision.
 
-Only the centroids are fitted, on at most ``SAMPLE`` vectors; every valid vector is indexed. What reaches
-the driver is that sample and a count per list.
+Only the centroids and the number of lists to visit are fitted, on at most ``SAMPLE`` vectors; every valid vector is
+indexed. Lists grow with the square root of the rows, as far as the sample can tell centroids apart (beyond that
+a list has more blocks). The visits are the least that find ``AIM`` of the true neighbours within the sample, so
+clustered vectors are searched in few lists and vectors without any structure in most. What reaches the driver
+is that sample and a count per list.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLE = 20_000
-BLOCK = 4096
-QUERIES = 1024
+BLOCK = 8192
+QUERIES = 8192
 STEP = 16
 DOUBT = 2.1
 #: Squared distances that differ by no more count as equal.
 NOISE = 1e-9
-LISTS = 64
-SHARE = 0.7
+#: Vectors of the sample for a centroid, and the share of true neighbours that the visited lists have to hold.
+FOR_LIST = 64
+AIM = 0.97
+TRIED = 1024
 
 
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
@@ -58,6 +63,24 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> n
     return c
 
 
+def visits(sample: np.ndarray, centre: np.ndarray, top: int, aim: float = AIM, seed: int = 42) -> int:
+    """How many of a vector's nearest lists hold ``aim`` of its ``top`` nearest others, over ``TRIED`` vectors of the sample."""
+    asked = np.random.default_rng(seed).permutation(len(sample))[:TRIED]
+    home = (sample @ centre.T).argmax(1)
+    needed = []
+    for part in np.array_split(asked, max(1, len(asked) // 64)):
+        score = sample[part] @ sample.T
+        score[np.arange(len(part)), part] = -np.inf
+        most = min(top, len(sample) - 1)
+        if most < 1:
+            return len(centre)
+        near = np.argpartition(-score, most - 1, axis=1)[:, :most]
+        place = np.argsort(np.argsort(-(sample[part] @ centre.T), axis=1, kind="stable"), axis=1)
+        needed.append(np.take_along_axis(place, home[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
+    return int(needed[min(len(needed) - 1, math.ceil(aim * len(needed)) - 1)]) + 1
+
+
 def scan(q: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
     """Row numbers of ``rows`` (rotated, unit) that the tests leave as neighbours of ``q``."""
     dim = len(q)
@@ -85,12 +108,13 @@ def scan(q: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int = LISTS, share: float = SHARE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest by cosine of each query, other than rows of its own vec_id.
 
     ``vectors`` and ``queries`` have vec_id and embedding. Rows that :func:`valid` leaves out, and rows of
     another length than the most common one, take no part. Equal scores go to the smaller vec_id. Repeated
     rows are candidates each, and queries each, with ranks of their own. Other columns are ignored; an empty table gives no rows.
+    ``aim`` 1 visits every list.
     """
     spark = vectors.sparkSession
     good = valid(vectors)
@@ -103,9 +127,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, lists: int =
     sample = np.array([r[0] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     turn = rotation(dim)
-    k = max(1, min(lists, len(sample) // 8))
+    k = max(1, min(math.isqrt(n) // 2, len(sample) // FOR_LIST))
     centre = centroids(sample @ turn, k)
-    probes = max(1, math.ceil(k * share))
+    probes = k if aim >= 1 else visits(sample @ turn, centre, top, aim)
 
     def near(many: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
