@@ -38,6 +38,11 @@ HINTS = frozenset(
     "subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies "
     "respond popup modal overlay widget toolbar pagination pager copyright search".split()
 )
+#: Parts of names that say nothing of what an element holds.
+PLAIN = frozenset(
+    "area aside bar block box button buttons card cards center col column container content div form frame group header icon icons inner item items "
+    "left link links list main more note outer panel posts right row section site small text the title top bottom wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 KEPT = frozenset("html body main article".split())
 
@@ -59,11 +64,19 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         if kind.lower() == "role":
             if value in ROLES:
                 return True
-        elif set(_PARTS.split(value)) & HINTS or not inside and "header" in _PARTS.split(value):
+        elif any(_names_furniture(token, inside) for token in value.split()):
             return True
     return False
 
 
+def _names_furniture(token: str, inside: bool) -> bool:
+    """Whether a class or id names furniture. Inside an article all its parts have to: ``related-work`` is text there."""
+    parts = {p for p in _PARTS.split(token) if p}
+    if inside:
+        return bool(parts & HINTS) and all(p in HINTS or p in PLAIN or p.isdigit() for p in parts)
+    return bool(parts & HINTS) or "header" in parts
+
+
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """(text, furniture, inside an article) of each block in page order; empty texts mark container borders."""
     out: list[tuple[str, bool, bool]] = []
