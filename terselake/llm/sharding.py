@@ -28,6 +28,7 @@ def external_shuffle(
     seed: int = 42,
     bucket_bytes: int = 4 << 20,
     bucket_rows: int = 1 << 16,
+    task_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Returns ``record`` (a struct of all input columns), ``shard`` int and ``slot`` long.
 
@@ -47,6 +48,8 @@ def external_shuffle(
     total = scattered.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
     n = total["n"]
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes), -(-n // bucket_rows))
+    # A task takes some buckets, and there are as many tasks as their bytes ask for.
+    tasks = max(min(buckets, spark.sparkContext.defaultParallelism), -(-(total["bytes"] or 0) // task_bytes))
     scattered = scattered.select("record", "h", F.pmod("h", F.lit(buckets)).alias("bucket"))
     counts = materialise(scattered.groupBy("bucket").agg(F.count("*").alias("rows")), "buckets")
     largest = counts.agg(F.max("rows")).first()[0] or 1
@@ -71,7 +74,7 @@ def external_shuffle(
         "bucket", "offset", F.filter("drawn", lambda i: i < F.col("rows")).alias("order")
     )
     at = F.row_number().over(Window.partitionBy("bucket").orderBy("h"))
-    placed = scattered.withColumn("at", at).join(plan, "bucket")
+    placed = scattered.repartition(tasks, "bucket").withColumn("at", at).join(plan, "bucket")
     place = placed.select("record", (F.col("offset") + F.element_at("order", F.col("at"))).alias("place"))
     shard = place.withColumn("shard", F.expr(f"(place * {shards}L) div {max(n, 1)}L"))
     return shard.select(
