@@ -24,7 +24,8 @@ GRAM = 5
 #: Characters that stand between words, after A-Z are lower-cased.
 BETWEEN = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ENDLESS = 2**31 - 1
+#: Longer than any array, and no overflow when a start is added.
+ENDLESS = 2**30
 
 
 def words(text: Column) -> Column:
@@ -103,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(F.col("known"), whole).alias("phrase"),
     )
     tried = tried.withColumn("phrase", F.coalesce("phrase", F.lit("")))
-    met = tried.join(windows, ["len", "h", "phrase"], "left")
+    met = tried.join(small(windows), ["len", "h", "phrase"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("at", "len"))
     found = met.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sum("first").cast("int").alias("copies"), F.collect_set(hit).alias("at"), F.collect_set("items").alias("items")
