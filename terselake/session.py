@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> SparkSession:
     Bounds that the session sets itself are left as they are.
     """
     for key, bound in BATCH.items():
-        if not spark.conf.get(key, ""):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, bound)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
