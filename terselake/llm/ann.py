@@ -158,20 +158,24 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, *, aim: float =
     ask = asked.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod("h", "groups").cast("int").alias("grp"), "query", "vec_id", "v")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        none = np.empty(0, np.int64)
+        found, scores = [(none, none, none)], [np.empty(0)]
         if len(q) and len(c):
             ids, raw = c["vec_id"].to_numpy(), np.array(c["v"].tolist())
             length = np.sqrt(np.square(raw).sum(1))
             turned = (raw / length[:, None]) @ turn
-            for query, qid, v in zip(q["query"].tolist(), q["vec_id"].tolist(), q["v"], strict=True):
-                v = np.asarray(v)
-                own = math.sqrt(np.square(v).sum())
+            asked = np.array(q["v"].tolist())
+            own = np.sqrt(np.square(asked).sum(1))
+            away = (asked / own[:, None]) @ turn
+            for k, (query, qid) in enumerate(zip(q["query"].tolist(), q["vec_id"].tolist(), strict=True)):
                 other = np.flatnonzero(ids != qid)
-                live = other[scan((v / own) @ turn, turned if len(other) == len(ids) else turned[other], top)]
-                score = (raw[live] * v).sum(1) / (length[live] * own)
+                live = other[scan(away[k], turned if len(other) == len(ids) else turned[other], top)]
+                score = (raw[live] * asked[k]).sum(1) / (length[live] * own[k])
                 best = np.lexsort((ids[live], -score))[:top]
-                out.append(pd.DataFrame({"query": query, "query_id": qid, "vec_id": ids[live][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype({"query": "int64", "query_id": "int64", "vec_id": "int64"})
+                found.append((np.full(len(best), query), np.full(len(best), qid), ids[live][best]))
+                scores.append(score[best])
+        query, qid, near = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"query": query, "query_id": qid, "vec_id": near, "score": np.concatenate(scores)})
 
     keys = ["list", "block", "grp"]
     found = ask.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "query long, query_id long, vec_id long, score double")
