@@ -402,7 +402,7 @@ def label_quality(spark, sf_dir):
     return rows.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum(T.token_count("text")).alias("tokens"))
 
 
-@query()
+@query("SELECT item_id, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM benchmark")
 def P4_hash_embeddings(spark, sf_dir):
     rows = E.embed(table(spark, sf_dir, "benchmark"), E.hashing_embedder(64))
     return rows.select("item_id", F.size("vector").alias("dim"), F.round(E.norm(F.col("vector")), 4).alias("norm"))
