@@ -13,7 +13,7 @@ encoded, and ids are gathered by word number, so Python never handles a word twi
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
-#: Words a worker remembers, and bytes of text it splits at once.
-CACHE = 400_000
-STRETCH = 8 << 20
+#: Words a task remembers, and bytes of text it splits at once.
+CACHE = 300_000
+STRETCH = 2 << 20
 #: A word-level tokenizer that lower-cases composed text and cuts before a mark that follows a letter or number.
-LOWERING = ["NFC", "Replace", "Lowercase"]
-CUTTING = ["Split", "ByteLevel"]
+LOWERING = r"Sequence\(normalizers=\[NFC\(\), Replace\(.*\), Lowercase\(\)\]\)$"
+CUTTING = r"Sequence\(pretokenizers=\[Split\(.*\), ByteLevel\(add_prefix_space=False, trim_offsets=True, use_regex=False\)\]\)$"
 _MARK = r"""([\pL\pN])([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~])"""
 _tokenizers: dict[str | None, WordIds] = {}
 
@@ -46,9 +46,7 @@ class WordIds:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        made = json.loads(tokenizer.to_str())
-        kinds = [[x["type"] for x in (made[k] or {}).get(part, [])] for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        self.plain = kinds == [LOWERING, CUTTING]
+        self.plain = all(re.match(p, repr(x)) for p, x in ((LOWERING, tokenizer.normalizer), (CUTTING, tokenizer.pre_tokenizer)))
         self.letters = byte_letters()
         self.clear()
 
@@ -217,5 +215,7 @@ def pack(
                     yield flush()
         if held:
             yield flush()
+        ids.clear()  # the worker's memory is the next task's, of whatever kind
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

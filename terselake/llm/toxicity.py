@@ -33,8 +33,8 @@ from .common import materialise, small
 ORDER = 6
 WINDOWS = (1, 3, 8, 32)
 #: Bytes of text that are split at once, and words that a task counts before it hands them on.
-STRETCH = 8 << 20
-HELD = 500_000
+STRETCH = 2 << 20
+HELD = 250_000
 MARKED = (2.0, 4.0)
 FEATURES = [f"best_{w}" for w in WINDOWS] + ["top_3", "whole"] + [f"above_{t:g}" for t in MARKED]
 
@@ -268,15 +268,18 @@ def with_features(docs: DataFrame, seen: Table, context: Table, keep: list[str])
     """``keep`` columns as struct ``doc``, then the features of ``text``; and the broadcast model, to be released."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((seen, context))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").cast("string").alias("text"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
+    inside = "text" in keep and dict(docs.dtypes)["text"] == "string"  # a text that is kept needn't come twice
+    rows = docs.select(doc) if inside else docs.select(doc, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.zeros((0, len(FEATURES)))]
-            for word, number, cut in words(b.column(1)):
+            for word, number, cut in words(pc.struct_field(b.column(0), "text") if inside else b.column(1)):
                 found.append(features(word_ratios(word, *model.value)[number], cut))
             found = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc", *FEATURES])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "doc " + rows.schema["doc"].dataType.simpleString() + "".join(f", {f} double" for f in FEATURES)), model
 
