@@ -7,7 +7,7 @@ runs per document in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -79,13 +79,28 @@ def unmarked(chunks: DataFrame) -> DataFrame:
     )
 
 
+def label() -> Column:
+    """What stands for an absorbed chunk in its cluster."""
+    return F.coalesce(F.substring("symbol", 1, 80), T.preview("text", 60))
+
+
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Adds what deduplication reads of a chunk's text, so that the passes and :func:`clusters` go without the text."""
+    signature = F.when(F.col("kind").isin(*STRUCTURAL_KINDS), structural_signature())
+    return chunks.withColumns({"dedup_key": dedup_key(), "signature": signature, "label": label()})
+
+
+def _known(chunks: DataFrame, name: str, value: Callable[[], Column]) -> Column:
+    return F.col(name) if name in chunks.columns else value()
+
+
 def exact_pass(chunks: DataFrame) -> DataFrame:
-    return _by_key(chunks, dedup_key(), ~F.col("kind").isin(*PROTECTED_KINDS), "exact")
+    return _by_key(chunks, _known(chunks, "dedup_key", dedup_key), ~F.col("kind").isin(*PROTECTED_KINDS), "exact")
 
 
 def structural_pass(chunks: DataFrame, min_tokens: int = MIN_SHAPE_TOKENS) -> DataFrame:
     fits = F.col("kind").isin(*STRUCTURAL_KINDS) & (F.col("token_count") >= min_tokens)
-    return _by_key(chunks, structural_signature(), fits, "structural")
+    return _by_key(chunks, _known(chunks, "signature", structural_signature), fits, "structural")
 
 
 def threshold(provider: str | None, table: dict[str, float] | None = None, default: float = THRESHOLD) -> tuple[float, str | None]:
@@ -166,7 +181,7 @@ def clusters(chunks: DataFrame) -> DataFrame:
     """A row per root that absorbed others, from chunks with ``root``; cluster ids follow the roots' order."""
     members = chunks.where("leader is not null").groupBy("doc_id", F.col("root").alias("representative_id")).agg(
         F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("m"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce(F.substring("symbol", 1, 80), T.preview("text", 60)).alias("label")))), lambda x: x["label"]).alias("absorbed_symbols"),
+        F.transform(F.sort_array(F.collect_list(F.struct("ord", _known(chunks, "label", label).alias("label")))), lambda x: x["label"]).alias("absorbed_symbols"),
         F.sum("token_count").alias("absorbed_tokens"),
         F.when(F.count_distinct("method") > 1, "mixed").otherwise(F.min("method")).alias("method"),
         F.avg("similarity").alias("mean_similarity"),
@@ -197,7 +212,7 @@ def deduplicate(
         out = structural_pass(out, min_shape_tokens)
     if similar is not None and "vector" in chunks.columns:
         out = similarity_pass(out, similar)
-    out = roots(out)
+    out = roots(out, exact + structural + (similar is not None))
     return out.withColumn("duplicate_count", F.count("*").over(Window.partitionBy("doc_id", "root")).cast("int"))
 
 

@@ -6,8 +6,11 @@ separators that depend on their neighbours.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +81,87 @@ def markers(chunks: DataFrame, clusters: DataFrame | None = None, *, drops: bool
     return named.withColumn("text", text)
 
 
+def body() -> Column:
+    return F.regexp_replace("text", r"(?U)\s+$", "")
+
+
+def parts(chunks: DataFrame, marks: DataFrame | None = None, text: bool = True) -> DataFrame:
+    """(doc_id, ord, place, tight, words, text) of what the shorter text is made of; ``text`` only if asked for.
+
+    Chunks that bring ``body_words``, the words of their text without the white space at its end, need no text for the rest.
+    """
+    kept = chunks.where("selected")
+    if "compressed_text" in chunks.columns:
+        again = F.regexp_replace("compressed_text", r"(?U)\s+$", "")
+        whole = F.coalesce(again, body()) if "text" in chunks.columns else again
+        words = F.coalesce(T.word_count(again), F.col("body_words") if "body_words" in chunks.columns else T.word_count(body()))
+    else:
+        whole, words = body() if text else None, F.col("body_words") if "body_words" in chunks.columns else T.word_count(body())
+    mine = kept.select("doc_id", "ord", F.lit(1).alias("place"), (F.col("kind") == "log_record").alias("tight"), words.alias("words"), *([whole.alias("text")] if text else []))
+    if marks is None:
+        return mine
+    return mine.unionByName(marks.select("doc_id", "ord", "place", F.lit(True).alias("tight"), T.word_count("text").alias("words"), *(["text"] if text else [])))
+
+
+def _tokens() -> Column:
+    """Tokens of the parts as one text: what stands between them is white space, so their words add up. Only a single
+    part without words, or none, makes an empty text."""
+    place = F.struct("ord", "place")
+    some = F.coalesce(F.max(F.col("words") > 0), F.lit(False)) | F.coalesce(F.max(F.when(F.col("words").isNotNull(), place)) > F.min(place), F.lit(False))
+    return F.when(some, T.tokens_of(F.coalesce(F.sum("words"), F.lit(0)))).otherwise(0).alias("compressed_tokens")
+
+
+def sizes(chunks: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, compressed_tokens) of the text that :func:`stitch` makes, which isn't made for it."""
+    return parts(chunks, marks, text=False).groupBy("doc_id").agg(_tokens())
+
+
 def stitch(chunks: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """(doc_id, compressed, compressed_tokens): a line feed between log records and markers, a blank line elsewhere."""
-    body = F.regexp_replace(F.coalesce("compressed_text", F.col("text")) if "compressed_text" in chunks.columns else F.col("text"), r"(?U)\s+$", "")
-    parts = chunks.where("selected").select("doc_id", "ord", F.lit(1).alias("place"), (F.col("kind") == "log_record").alias("tight"), body.alias("text"))
-    if marks is not None:
-        parts = parts.unionByName(marks.select("doc_id", "ord", "place", F.lit(True).alias("tight"), "text"))
     order = Window.partitionBy("doc_id").orderBy("ord", "place")
     before = F.lag("tight").over(order)
     gap = F.when(before.isNull(), "").when(before & F.col("tight"), "\n").otherwise("\n\n")
-    pieces = parts.withColumn("gap", gap).groupBy("doc_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "place", "gap", "text"))), lambda x: F.concat(x["gap"], x["text"])), "").alias("compressed")
+    return parts(chunks, marks).withColumn("gap", gap).groupBy("doc_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "place", "gap", "text"))), lambda x: F.concat(x["gap"], x["text"])), "").alias("compressed"),
+        _tokens(),
     )
-    return pieces.withColumn("compressed_tokens", T.token_count("compressed"))
+
+
+def digests(chunks: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, compressed, compressed_tokens) as :func:`stitch`, with the MD5 of the text in its place.
+
+    The parts of a document pass in order through one hash, so a text of any size is never held.
+    """
+    rows = parts(chunks, marks)
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        now, tight, digest = none, False, None
+        ids, found = [], []
+        for b in batches:
+            bodies = b.column(2).cast(pa.large_binary())
+            for k, (key, close) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                first = now is none or key != now
+                if first:
+                    if now is not none:
+                        ids.append(now)
+                        found.append(digest.hexdigest())
+                    now, digest = key, hashlib.md5(usedforsecurity=False)
+                one = bodies[k].as_py()
+                if one is not None:
+                    digest.update((b"" if first else b"\n" if tight and close else b"\n\n") + one)
+                tight = close
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(found, pa.string())], ["doc_id", "compressed"])
+                ids, found = [], []
+        if now is not none:
+            yield pa.RecordBatch.from_arrays([pa.array([now], b.schema.field(0).type), pa.array([digest.hexdigest()], pa.string())], ["doc_id", "compressed"])
+
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord", "place").select("doc_id", "tight", "text")
+    hashed = ordered.mapInArrow(run, f"doc_id {kind}, compressed string")
+    tokens = sizes(chunks, marks).withColumnRenamed("doc_id", "_d")
+    return hashed.join(tokens, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "compressed", "compressed_tokens")
 
 
 def rebuild_metrics(texts: DataFrame, marks: DataFrame | None) -> DataFrame:
