@@ -234,9 +234,23 @@ def sentences(c: Column | str) -> Column:
     )
 
 
+#: Whether a text may match one of ENTITY_PATTERNS: each match holds what is looked for here, which is found sooner.
+_MAY_MATCH = {
+    "numbers": lambda c: c.rlike(r"(?U)\d"),
+    "measurements": lambda c: c.rlike(r"(?U)\d"),
+    "snake": lambda c: F.contains(c, F.lit("_")),
+    "camel": lambda c: c.rlike("[a-z][A-Z]"),
+    "constants": lambda c: c.rlike("[A-Z][A-Z0-9]{2}"),
+    "signatures": lambda c: F.contains(c, F.lit("(")) | c.rlike("def|class|function|interface|struct|impl"),
+    "dotted": lambda c: c.rlike(r"(?U)\w\.\w"),
+    "urls": lambda c: F.contains(c, F.lit("/")) | F.contains(c, F.lit("@")),
+    "proper_nouns": lambda c: c.rlike("[A-Z][a-z]{2}"),
+}
+
+
 def entity_counts(c: Column | str) -> Column:
     """Counts of the patterns, as a struct; names aren't recognised without a model and count 0."""
-    n = {k: count_matches(c, p) for k, p in ENTITY_PATTERNS.items()}
+    n = {k: F.when(may(_s(c)), count_matches(c, ENTITY_PATTERNS[k])).when(_s(c).isNotNull(), 0) for k, may in _MAY_MATCH.items()}
     return F.struct(
         F.lit(0).alias("entities"),
         n["signatures"].alias("signatures"),

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
-from ..schema import PROTECTED_KINDS
+from ..schema import PROTECTED_KINDS, STRUCTURAL_KINDS
+from .dedup import MIN_SHAPE_TOKENS
 from .embed import centroid, cosine, dot, norm
+from .stream import whole
 
 # ---- fixed values ----
 WEIGHTS = {"entropy": 0.12, "tfidf": 0.20, "entities": 0.12, "novelty": 0.16, "structure": 0.20, "query_relevance": 0.20}
@@ -136,9 +144,100 @@ def asked_vector() -> Column:
     return F.first(F.when(F.col("kind") == "query", F.col("vector")), ignorenulls=True).over(Window.partitionBy("doc_id"))
 
 
+#: What :func:`measured` adds to chunks, so that :func:`score` needs no text.
+MEASURED = ("entropy", "entities", "structure", "tfidf")
+
+
+def _counts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of the different strings of each row's list; equal strings have equal codes."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    different = max(1, len(coded.dictionary))
+    keys = np.repeat(np.arange(len(lists), dtype=np.int64), sizes) * different + coded.indices.to_numpy(zero_copy_only=False)
+    keys, n = np.unique(keys, return_counts=True)
+    return keys // different, keys % different, n
+
+
+def _entropies(tokens: pa.ListArray, total: np.ndarray) -> np.ndarray:
+    """As :func:`entropy_of`."""
+    row, _, n = _counts(tokens)
+    bits = np.bincount(row, n * np.log2(n), len(tokens))
+    many = np.maximum(total, 2)
+    most = np.log2(many)
+    return np.where(total < 2, 0.0, (most - bits / many) / most * np.minimum(1.0, most / np.log2(ENTROPY_TOKENS)))
+
+
+def _tfidfs(terms: pa.ListArray, doc: np.ndarray, live: np.ndarray) -> pa.Array:
+    """As :func:`tfidf` over the live rows, given whole documents numbered from 0; null for others."""
+    at = np.flatnonzero(live)
+    row, code, tf = _counts(terms.take(pa.array(at)))
+    mine = doc[at]
+    wide = code.max(initial=0) + 1
+    _, back, df = np.unique(mine[row] * wide + code, return_inverse=True, return_counts=True)
+    chunks = np.bincount(mine, minlength=doc[-1] + 1)
+    idf = np.log((1 + chunks[mine[row]]) / (1 + df[back])) + 1
+    sums, n = np.bincount(row, (1 + np.log(tf)) * idf, len(at)), np.bincount(row, minlength=len(at))
+    some = np.bincount(mine, n > 0, doc[-1] + 1) > 0
+    out, known = np.zeros(len(doc)), np.zeros(len(doc), bool)
+    out[at] = sums / np.maximum(n, 1)
+    known[at] = (some & (chunks >= 2))[mine]
+    return pa.array(out, mask=~known)
+
+
+def _alive(t: pa.Table, doc: np.ndarray, exact: bool, structural: bool, least: int) -> np.ndarray:
+    """Which rows the passes by key of :mod:`dedup` leave: of equal keys in a document the first."""
+    seen: set[tuple] = set()
+    live = np.ones(len(doc), bool)
+    kinds, keys, shapes, sizes = (t.column(c).to_pylist() for c in ("kind", "dedup_key", "signature", "token_count"))
+    for i in np.lexsort((t.column("ord").to_numpy(), doc)).tolist():
+        found = [(doc[i], 0, keys[i])] if exact and keys[i] is not None and kinds[i] not in PROTECTED_KINDS else []
+        if structural and shapes[i] is not None and kinds[i] in STRUCTURAL_KINDS and sizes[i] >= least:
+            found.append((doc[i], 1, shapes[i]))
+        for key in found:
+            if key in seen:
+                live[i] = False
+                break
+            seen.add(key)
+    return live
+
+
+def measured(chunks: DataFrame, *, together: bool = False, exact: bool = True, structural: bool = True, min_shape_tokens: int = MIN_SHAPE_TOKENS) -> DataFrame:
+    """Adds the signals that follow from the text to chunks with the keys of ``dedup.keyed``.
+
+    ``tfidf`` follows from a document's survivors; it is among them if each document's rows stand ``together`` in one
+    partition, as a chunker leaves them, and the passes by key alone decide who survives.
+    """
+    text = analysis_text()
+    weight = T.entity_weight(T.entity_counts(text))
+    terms = F.regexp_extract_all(F.lower(text), F.lit(T.TERM), F.lit(0)) if together else F.array().cast("array<string>")
+    rows = chunks.withColumns({"structure": structure(), "_weight": weight, "_tokens": T.token_list(text), "_terms": terms})
+    added = MEASURED if together else MEASURED[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches) if together else map(lambda b: pa.Table.from_batches([b]), batches):
+            if not t.num_rows:
+                continue
+            tokens, many = t.column("_tokens").combine_chunks(), t.column("_terms").combine_chunks()
+            total = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            per = np.maximum(1.0, np.rint(total * T.TOKENS_PER_WORD))
+            out = t.drop_columns(["_weight", "_tokens", "_terms", "structure"])
+            out = out.append_column("entropy", pa.array(_entropies(tokens, total)))
+            out = out.append_column("entities", pc.divide(t.column("_weight"), pa.array(per)))
+            out = out.append_column("structure", t.column("structure"))
+            if together:
+                ids = t.column("doc_id").to_pylist()
+                doc = np.cumsum([0, *(a != b for a, b in zip(ids, ids[1:], strict=False))])
+                out = out.append_column("tfidf", _tfidfs(many, doc, _alive(t, doc, exact, structural, min_shape_tokens)))
+            yield from out.combine_chunks().to_batches()
+
+    schema = StructType([*chunks.schema.fields, *(StructField(c, DoubleType()) for c in added)])
+    return rows.mapInArrow(run, schema)
+
+
 def score(survivors: DataFrame, *, weights: dict[str, float] | None = None, boost: float = FREQUENCY_BOOST) -> DataFrame:
     """Adds the scaled signals, ``density`` (6 digits) and ``density_parts`` (4). Signals a document lacks pass
-    their weight to the others; relevance is that to the document's question."""
+    their weight to the others; relevance is that to the document's question. Signals that :func:`measured` has
+    found are read and left out of the result."""
     weights = weights or WEIGHTS
     base = survivors
     if "vector" in base.columns:
@@ -146,15 +245,13 @@ def score(survivors: DataFrame, *, weights: dict[str, float] | None = None, boos
         relevance = query_relevance(F.col("vector"), F.col("_asked"))
     else:
         base, relevance = base.withColumn("novelty", F.lit(None).cast("double")), F.lit(None).cast("double")
-    raw = (
-        base.withColumn("_relevance", relevance)
-        .join(tfidf(survivors), KEY)
-        .withColumn("entropy", entropy_of(analysis_text()))
-        .withColumn("entities", entities())
-        .withColumn("structure", structure())
-        .withColumn("frequency", frequency())
-    )
-    raw = raw.withColumnRenamed("_relevance", "query_relevance")
+    raw = base.withColumn("query_relevance", relevance)
+    if "tfidf" not in survivors.columns:
+        raw = raw.join(tfidf(survivors), KEY)
+    row_wise = {"entropy": lambda: entropy_of(analysis_text()), "entities": entities, "structure": structure, "frequency": frequency}
+    for name, value in row_wise.items():
+        if name not in survivors.columns:
+            raw = raw.withColumn(name, value())
     parts = {k: F.col(k) if k == "structure" else scaled(k) for k in WEIGHTS}
     out = raw.withColumns({f"n_{k}": v for k, v in parts.items()})
     there = {k: F.col(f"n_{k}").isNotNull() for k in WEIGHTS}
@@ -165,7 +262,7 @@ def score(survivors: DataFrame, *, weights: dict[str, float] | None = None, boos
     mean = sum((F.when(there[k], weight(k) * F.col(f"n_{k}")).otherwise(0.0) for k in WEIGHTS), F.lit(0.0))
     density = (mean + boost * F.col("frequency")) / (1 + boost)
     return out.select(
-        *survivors.columns,
+        *[c for c in survivors.columns if c not in MEASURED],
         F.when(F.col("kind").isin(*PROTECTED_KINDS), 1.0).otherwise(F.round(density, 6)).alias("density"),
         F.create_map(
             *[x for k in WEIGHTS for x in (F.lit(k), F.round(f"n_{k}", 4))], F.lit("frequency"), F.round("frequency", 4)

@@ -8,15 +8,20 @@ depend on each choice before them and run per document in Python.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..schema import CODE_KINDS, PROTECTED_KINDS
 from . import rebuild
 from .dedup import KEYWORDS, LEXER
+from .stream import whole
 
 RATIO = 0.30
 RESERVE = 0.03
@@ -115,6 +120,19 @@ def references(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("kind").isin(*CODE_KINDS)).select("doc_id", "id", F.explode(names).alias("name")).where(F.length("name") >= MIN_NAME)
 
 
+def named(chunks: DataFrame) -> DataFrame:
+    """Adds ``defines`` and ``uses``, the sorted names of :func:`definitions` and :func:`references`, empty where there are none."""
+    none = F.array().cast("array<string>")
+    parts = F.when(F.col("symbol").isNotNull(), F.concat(F.array("symbol"), F.split("symbol", r"\."))).otherwise(none)
+    attributes = F.regexp_extract_all("text", F.lit(r"\.([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    skip = F.array(*[F.lit(w) for w in [*KEYWORDS, *GENERIC]])
+    uses = F.array_except(F.array_except(F.array_union(_names(F.col("text")), attributes), skip), parts)
+    long = lambda names: F.sort_array(F.filter(names, lambda n: F.length(n) >= MIN_NAME))
+    code = F.col("kind").isin(*CODE_KINDS)
+    of = lambda names: F.coalesce(F.when(code, long(names)), none)
+    return chunks.withColumns({"defines": of(F.array_distinct(parts)), "uses": of(uses)})
+
+
 def broken(chunks: DataFrame) -> DataFrame:
     """(doc_id, referrer_id, symbol, definition_id, definition_tokens): names a kept chunk uses whose every
     definition was dropped; the smallest definition mends it."""
@@ -156,8 +174,8 @@ def rewrite_candidates(chunks: DataFrame, least: int = 150, limit: int = 12) ->
 class Picker:
     """Admission, repair and marker fitting over one document's survivors, as lists sorted by ord."""
 
-    def __init__(self, rows: pd.DataFrame, limit: int):
-        self.rows = rows.sort_values("ord").to_dict("records")
+    def __init__(self, rows: list[dict] | pd.DataFrame, limit: int):
+        self.rows = rows if isinstance(rows, list) else rows.sort_values("ord").to_dict("records")
         self.limit = limit
         for r in self.rows:
             r["protected"] = r["kind"] in PROTECTED_KINDS
@@ -252,20 +270,23 @@ def select_with_repair(
     chunks: DataFrame, originals: DataFrame, *, ratio: float = RATIO, least: int = MIN_KEPT, reserve: float = RESERVE, mend: bool = True, markers: bool = True
 ) -> DataFrame:
     """Like :func:`select` by density, with dependencies mended and the budget met with markers counted in."""
-    names = lambda df, c: df.groupBy("doc_id", "id").agg(F.sort_array(F.collect_set("name")).alias(c))
-    rows = (
-        chunks.select("doc_id", "id", "ord", "kind", "symbol", "token_count", "density", "start_line", "end_line", T.word_count("text").alias("words"), "duplicate_count", "cluster_id", "absorbed_tokens", "method")
-        .join(names(definitions(chunks), "defines"), ["doc_id", "id"], "left")
-        .join(names(references(chunks), "uses"), ["doc_id", "id"], "left")
-        .join(originals.select("doc_id", budget(F.col("original_tokens"), ratio).alias("limit")), "doc_id")
-        .withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("defines", "uses")})
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = Picker(pdf, int(pdf["limit"].iloc[0])).run(least, reserve, mend, markers)
-        return pd.DataFrame(
-            {"doc_id": pdf["doc_id"].iloc[0], "id": [c[0] for c in chosen], "selected": [c[1] for c in chosen], "drop_reason": [c[2] for c in chosen]}
-        )
-
-    found = rows.groupBy("doc_id").applyInPandas(run, "doc_id bigint, id string, selected boolean, drop_reason string")
-    return chunks.join(found, ["doc_id", "id"])
+    known = chunks if "uses" in chunks.columns else named(chunks)
+    known = known if "words" in chunks.columns else known.withColumn("words", T.word_count("text"))
+    limits = originals.select("doc_id", budget(F.col("original_tokens"), ratio).alias("_limit"))
+    # A document's rows meet in one partition, in order, and leave it with their columns.
+    rows = known.join(limits, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    kept = chunks.columns
+    read = ["id", "ord", "kind", "symbol", "token_count", "density", "start_line", "end_line", "words", "duplicate_count", "cluster_id", "absorbed_tokens", "method", "defines", "uses"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches):
+            records, limit = t.select(read).to_pylist(), t.column("_limit").to_pylist()
+            chosen = []
+            for _, group in groupby(zip(t.column("doc_id").to_pylist(), range(t.num_rows), strict=True), key=lambda x: x[0]):
+                at = [i for _, i in group]
+                chosen += Picker([records[i] for i in at], limit[at[0]]).run(least, reserve, mend, markers)
+            out = t.select(kept).append_column("selected", pa.array([c[1] for c in chosen], pa.bool_()))
+            yield from out.append_column("drop_reason", pa.array([c[2] for c in chosen], pa.string())).combine_chunks().to_batches()
+
+    added = [StructField("selected", BooleanType()), StructField("drop_reason", StringType())]
+    return rows.mapInArrow(run, StructType([*chunks.schema.fields, *added]))

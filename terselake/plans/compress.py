@@ -25,41 +25,66 @@ RATIOS = (0.15, 0.30, 0.50)
 STAGES = ("chunking", "redundancy", "density", "selection", "abstractive", "reconstruction")
 
 
+KEY = ["doc_id", "id"]
+
+
 @dataclass
 class Compression:
-    """Lazy tables of one run, each keyed by doc_id, and the folders of the stages they read."""
+    """Lazy tables of one run, each keyed by doc_id, and the folders of the stages they read.
+
+    The chunks' texts are written once. ``fates`` and ``chosen`` are all chunks and the survivors without them, and
+    every figure comes from these; ``chunks``, ``survivors`` and ``texts`` meet the texts when they are read.
+    """
 
     documents: DataFrame
-    chunks: DataFrame
+    originals: DataFrame
+    fates: DataFrame
     clusters: DataFrame
-    survivors: DataFrame
+    chosen: DataFrame
     markers: DataFrame | None
-    texts: DataFrame
+    bodies: DataFrame
     note: str | None = None
     paths: list[str] = field(default_factory=list)
 
+    @property
+    def chunks(self) -> DataFrame:
+        return self.fates.join(self.bodies, KEY)
+
+    @property
+    def survivors(self) -> DataFrame:
+        return self.chosen.join(self.bodies, KEY)
+
+    @property
+    def texts(self) -> DataFrame:
+        return R.stitch(self.chosen.where("selected").join(self.bodies, KEY), self.markers)
+
+    @property
+    def sizes(self) -> DataFrame:
+        """(doc_id, compressed_tokens) of ``texts``."""
+        return R.sizes(self.chosen, self.markers)
+
     def release(self) -> None:
         """Removes the stages' tables; what is lazy here can't be read any more."""
         drop(self.documents.sparkSession, self.paths)
 
     def rebuild_metrics(self) -> DataFrame:
-        return R.rebuild_metrics(self.texts, self.markers)
+        return R.rebuild_metrics(self.sizes, self.markers)
 
     def summary(self) -> DataFrame:
         """Tokens before and after, the ratio saved, and what was kept, per document; an empty one has zeros."""
-        kept = self.survivors.groupBy("doc_id").agg(F.count_if("selected").alias("kept"), F.count_if(~F.col("selected")).alias("dropped"))
-        absorbed = self.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("leader").isNotNull()).alias("absorbed"))
-        base = self.documents.select("doc_id", "name", F.coalesce(T.token_count("text"), F.lit(0)).alias("original_tokens"))
-        rows = base.join(self.texts.select("doc_id", "compressed_tokens"), "doc_id", "left").join(kept, "doc_id", "left").join(absorbed, "doc_id", "left")
+        kept = self.chosen.groupBy("doc_id").agg(F.count_if("selected").alias("kept"), F.count_if(~F.col("selected")).alias("dropped"))
+        absorbed = self.fates.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("leader").isNotNull()).alias("absorbed"))
+        base = self.originals.withColumn("original_tokens", F.coalesce("original_tokens", F.lit(0)))
+        rows = base.join(self.sizes, "doc_id", "left").join(kept, "doc_id", "left").join(absorbed, "doc_id", "left")
         rows = rows.fillna(0, ["compressed_tokens", "kept", "dropped", "chunks", "absorbed"])
         saved = F.when(F.col("original_tokens") > 0, 1 - F.col("compressed_tokens") / F.col("original_tokens")).otherwise(0.0)
         return rows.withColumn("compression_ratio", F.round(saved, 4))
 
     def stage_metrics(self) -> DataFrame:
         """Six rows a document, in the order of STAGES; all ``skipped`` where there was nothing to do."""
-        chunks = self.chunks.groupBy("doc_id").agg(F.sum("token_count").alias("c"), F.sum(F.when(F.col("leader").isNull(), F.col("token_count"))).alias("s"))
-        kept = self.survivors.groupBy("doc_id").agg(F.sum(F.when(F.col("selected"), F.col("token_count")).otherwise(0)).alias("k"))
-        rows = self.documents.select("doc_id").join(chunks, "doc_id", "left").join(kept, "doc_id", "left").join(self.texts.select("doc_id", F.col("compressed_tokens").alias("t")), "doc_id", "left")
+        chunks = self.fates.groupBy("doc_id").agg(F.sum("token_count").alias("c"), F.sum(F.when(F.col("leader").isNull(), F.col("token_count"))).alias("s"))
+        kept = self.chosen.groupBy("doc_id").agg(F.sum(F.when(F.col("selected"), F.col("token_count")).otherwise(0)).alias("k"))
+        rows = self.originals.select("doc_id").join(chunks, "doc_id", "left").join(kept, "doc_id", "left").join(self.sizes.withColumnRenamed("compressed_tokens", "t"), "doc_id", "left")
         into = {"chunking": ("c", "c"), "redundancy": ("c", "s"), "density": ("s", "s"), "selection": ("s", "k"), "abstractive": ("k", "k"), "reconstruction": ("k", "t")}
         one = lambda i, s: F.struct(F.lit(i).alias("no"), F.lit(s).alias("stage"), F.col(into[s][0]).alias("tokens_in"), F.col(into[s][1]).alias("tokens_out"))
         out = rows.select("doc_id", F.inline(F.array(*[one(i, s) for i, s in enumerate(STAGES)])))
@@ -68,7 +93,7 @@ class Compression:
 
     def payload(self, with_text: bool = True) -> DataFrame:
         """(doc_id, payload): summary, spans and markers as JSON; markers without the ids of their chunks."""
-        spans = R.spans(self.survivors).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char", "kept", "kind", "tokens", "reason"))).alias("spans"))
+        spans = R.spans(self.chosen).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char", "kept", "kind", "tokens", "reason"))).alias("spans"))
         out = self.summary().join(spans, "doc_id", "left")
         if self.markers is not None:
             rows = R.recoverable(self.markers).drop("chunk_ids")
@@ -81,23 +106,34 @@ class Compression:
 def scored_chunks(
     docs: DataFrame, config: Config, *, query: str | DataFrame | None = None, instruction: str | None = None, embedder: E.Embedder | E.Chain | None = None,
     provider: str | None = None, kind: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all chunks with their fate in deduplication, clusters, survivors with their density): what selection starts from."""
-    chunks = materialise(with_protected(C.chunk(docs, kind, config.chunking), query, instruction), "chunks")
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts of the chunks, all chunks with their fate in deduplication, clusters, survivors with their density).
+
+    Whatever follows from a text alone is found while the text is written, so it is in no later stage.
+    """
+    d = config.dedup
+    rows = C.chunk(docs, kind, config.chunking)
+    put = with_protected(rows, query, instruction)
+    together = put is rows and embedder is None
     similar = None
     if embedder is not None:
-        chunks = materialise(E.embed(chunks, embedder), "embedded")
-        similar = D.threshold(provider, config.dedup.thresholds, config.dedup.similarity)[0]
-    d = config.dedup
-    chunks = D.deduplicate(chunks, exact=d.exact, structural=d.structural, similar=similar, min_shape_tokens=d.min_shape_tokens)
-    chunks = materialise(chunks, "deduplicated")
-    groups = materialise(D.clusters(chunks), "clusters")
-    live = chunks.where("leader is null").join(
-        groups.select("doc_id", F.col("representative_id").alias("id"), "cluster_id", "absorbed_tokens", F.col("method").alias("_m")), ["doc_id", "id"], "left"
+        put = materialise(E.embed(materialise(put, "chunks"), embedder), "embedded")
+        similar = D.threshold(provider, d.thresholds, d.similarity)[0]
+    put = K.named(D.keyed(put)).withColumns({"words": T.word_count("text"), "body_words": T.word_count(R.body())})
+    put = N.measured(put, together=together, exact=d.exact, structural=d.structural, min_shape_tokens=d.min_shape_tokens)
+    put = materialise(put, "measured", "zstd")
+    bodies = put.select(*KEY, "text")
+    fates = D.deduplicate(put.drop("text"), exact=d.exact, structural=d.structural, similar=similar, min_shape_tokens=d.min_shape_tokens)
+    fates = materialise(fates, "deduplicated")
+    groups = materialise(D.clusters(fates), "clusters")
+    live = fates.where("leader is null").join(
+        groups.select("doc_id", F.col("representative_id").alias("id"), "cluster_id", "absorbed_tokens", F.col("method").alias("_m")), KEY, "left"
     )
-    live = live.drop("leader", "method", "similarity", "root").withColumnRenamed("_m", "method")
-    live = materialise(live, "survivors")
-    return chunks, groups, materialise(N.score(live, weights=config.density.weights, boost=config.density.frequency_boost), "scored")
+    live = live.drop("leader", "method", "similarity", "root", "dedup_key", "signature", "label").withColumnRenamed("_m", "method")
+    if not together:
+        live = materialise(live.join(bodies, KEY), "survivors")
+    scored = N.score(live, weights=config.density.weights, boost=config.density.frequency_boost)
+    return bodies, fates, groups, materialise(scored.drop("text"), "scored")
 
 
 def choose(scored: DataFrame, originals: DataFrame, config: Config) -> DataFrame:
@@ -127,16 +163,18 @@ def compress(
     """
     config = config or Config()
     docs = docs.select("doc_id", "name", "text")
-    originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
     with written() as paths:
-        chunks, groups, scored = scored_chunks(docs, config, query=query, instruction=instruction, embedder=embedder, provider=provider, kind=kind)
+        originals = materialise(docs.select("doc_id", "name", T.token_count("text").alias("original_tokens")), "originals")
+        bodies, fates, groups, scored = scored_chunks(docs, config, query=query, instruction=instruction, embedder=embedder, provider=provider, kind=kind)
         w = config.rewrite
+        chosen = materialise(choose(scored, originals.drop("name"), config), "selected")
         rewritten, _, why = rewrite(
-            materialise(choose(scored, originals, config), "selected"), generate, enabled=w.enabled, stage_seconds=w.stage_seconds, least=w.min_tokens,
-            limit=w.max_chunks, overlap=w.overlap, numbers=w.numbers,
-        )
-        marks = marks_of(rewritten, groups, config)
-    return Compression(docs, chunks, groups, rewritten, marks, R.stitch(rewritten, marks), why, paths)
+            chosen.join(bodies, KEY), generate, enabled=w.enabled, stage_seconds=w.stage_seconds, least=w.min_tokens, limit=w.max_chunks, overlap=w.overlap, numbers=w.numbers
+        )
+        new = rewritten.select(*KEY, "compressed_text")
+        chosen = chosen.withColumn("compressed_text", F.lit(None).cast("string")) if why else chosen.join(new, KEY)
+        marks = marks_of(chosen, groups, config)
+    return Compression(docs, originals, fates, groups, chosen, marks, bodies, why, paths)
 
 
 def compress_items(items: DataFrame, contexts: DataFrame, **options) -> tuple[DataFrame, Compression]:
@@ -165,13 +203,13 @@ def compare_strategies(
     config = config or Config()
     docs = contexts.select(F.xxhash64("context").alias("doc_id"), "context", "name", "text")
     originals = docs.select("doc_id", T.token_count("text").alias("original_tokens"))
-    _, groups, scored = scored_chunks(docs.drop("context"), config, **options)
+    bodies, _, groups, scored = scored_chunks(docs.drop("context"), config, **options)
     out = None
     for ratio in ratios:
         for strategy in strategies:
             mine = config.with_overrides({"selection": {"ratio": ratio, "strategy": strategy}})
             chosen = choose(scored, originals, mine)
-            texts = materialise(docs.select("doc_id", "context").join(R.stitch(chosen, marks_of(chosen, groups, mine)), "doc_id"), "texts")
+            texts = materialise(docs.select("doc_id", "context").join(R.stitch(chosen.where("selected").join(bodies, KEY), marks_of(chosen, groups, mine)), "doc_id"), "texts")
             sizes = texts.rollup("context").agg(F.sum("compressed_tokens").alias("tokens"))
             found = V.fact_survival(items, texts.select("context", F.col("compressed").alias("text")))
             sizes = sizes.withColumnRenamed("context", "_c")

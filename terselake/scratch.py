@@ -57,8 +57,8 @@ def path(spark: SparkSession, label: str) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Writes ``df`` there and reads it back: later plans start from the table, and its stages aren't run twice."""
     at = path(df.sparkSession, label)
-    df.write.parquet(at)
+    df.write.parquet(at, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(at)
