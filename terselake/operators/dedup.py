@@ -87,7 +87,11 @@ def label() -> Column:
 def keyed(chunks: DataFrame) -> DataFrame:
     """Adds what deduplication reads of a chunk's text, so that the passes and :func:`clusters` go without the text."""
     signature = F.when(F.col("kind").isin(*STRUCTURAL_KINDS), structural_signature())
-    return chunks.withColumns({"dedup_key": dedup_key(), "signature": signature, "label": label()})
+    flat = F.col("_flat")
+    preview = F.when(F.length(flat) <= 60, flat).otherwise(F.concat(F.substring(flat, 1, 59), F.lit("…")))
+    key = F.coalesce(F.concat(F.lit("tpl:"), "template"), F.concat(F.lit("txt:"), F.md5(flat.cast("binary"))))
+    found = {"dedup_key": key, "signature": signature, "label": F.coalesce(F.substring("symbol", 1, 80), preview)}
+    return chunks.withColumn("_flat", T.squeeze("text")).withColumns(found).drop("_flat")
 
 
 def _known(chunks: DataFrame, name: str, value: Callable[[], Column]) -> Column:
@@ -212,7 +216,12 @@ def deduplicate(
         out = structural_pass(out, min_shape_tokens)
     if similar is not None and "vector" in chunks.columns:
         out = similarity_pass(out, similar)
-    out = roots(out, exact + structural + (similar is not None))
+    if similar is not None:
+        out = roots(out)
+    else:
+        # The first of an exact key may have been absorbed by its shape; its leader hasn't been.
+        same = Window.partitionBy("doc_id", _known(chunks, "dedup_key", dedup_key)).orderBy(F.col("kind").isin(*PROTECTED_KINDS), "ord")
+        out = out.withColumn("root", F.coalesce(F.when(F.col("method") == "exact", F.first("leader").over(same)), "leader", "id"))
     return out.withColumn("duplicate_count", F.count("*").over(Window.partitionBy("doc_id", "root")).cast("int"))
 
 

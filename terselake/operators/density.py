@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 from ..schema import PROTECTED_KINDS, STRUCTURAL_KINDS
@@ -146,6 +146,8 @@ def asked_vector() -> Column:
 
 #: What :func:`measured` adds to chunks, so that :func:`score` needs no text.
 MEASURED = ("entropy", "entities", "structure", "tfidf")
+#: And the words of the whole text, and of the text without white space at its end.
+SIZED = ("words", "body_words")
 
 
 def _counts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +213,12 @@ def measured(chunks: DataFrame, *, together: bool = False, exact: bool = True, s
     weight = T.entity_weight(T.entity_counts(text))
     terms = F.regexp_extract_all(F.lower(text), F.lit(T.TERM), F.lit(0)) if together else F.array().cast("array<string>")
     rows = chunks.withColumns({"structure": structure(), "_weight": weight, "_tokens": T.token_list(text), "_terms": terms})
+    # A text's words are its tokens, unless the tokens are those of its template or white space that they count ends it.
+    ends = F.substring("text", -1, 1).rlike(r"(?U)\s")
+    body = T.word_count(F.regexp_replace("text", r"(?U)\s+$", ""))
+    rows = rows.withColumns({"_words": F.when(F.col("template").isNotNull(), T.word_count("text")), "_body": F.when(ends, body)})
     added = MEASURED if together else MEASURED[:-1]
+    extra = ["_weight", "_tokens", "_terms", "_words", "_body", "structure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole(batches) if together else map(lambda b: pa.Table.from_batches([b]), batches):
@@ -220,7 +227,9 @@ def measured(chunks: DataFrame, *, together: bool = False, exact: bool = True, s
             tokens, many = t.column("_tokens").combine_chunks(), t.column("_terms").combine_chunks()
             total = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             per = np.maximum(1.0, np.rint(total * T.TOKENS_PER_WORD))
-            out = t.drop_columns(["_weight", "_tokens", "_terms", "structure"])
+            out = t.drop_columns(extra)
+            words = pc.coalesce(t.column("_words"), pa.array(total, pa.int32()))
+            out = out.append_column("words", words).append_column("body_words", pc.coalesce(t.column("_body"), words))
             out = out.append_column("entropy", pa.array(_entropies(tokens, total)))
             out = out.append_column("entities", pc.divide(t.column("_weight"), pa.array(per)))
             out = out.append_column("structure", t.column("structure"))
@@ -230,7 +239,7 @@ def measured(chunks: DataFrame, *, together: bool = False, exact: bool = True, s
                 out = out.append_column("tfidf", _tfidfs(many, doc, _alive(t, doc, exact, structural, min_shape_tokens)))
             yield from out.combine_chunks().to_batches()
 
-    schema = StructType([*chunks.schema.fields, *(StructField(c, DoubleType()) for c in added)])
+    schema = StructType([*chunks.schema.fields, *(StructField(c, IntegerType()) for c in SIZED), *(StructField(c, DoubleType()) for c in added)])
     return rows.mapInArrow(run, schema)
 
 

@@ -26,6 +26,8 @@ STAGES = ("chunking", "redundancy", "density", "selection", "abstractive", "reco
 
 
 KEY = ["doc_id", "id"]
+#: Columns of a chunk that no stage reads; they stay with its text.
+CARRIED = ["source", "level", "lines", "section", "heading_level", "language", "merged_parts", "split_part", "split_of", "forward_anchor", "fallback"]
 
 
 @dataclass
@@ -43,6 +45,7 @@ class Compression:
     chosen: DataFrame
     markers: DataFrame | None
     bodies: DataFrame
+    parts: DataFrame
     note: str | None = None
     paths: list[str] = field(default_factory=list)
 
@@ -52,7 +55,7 @@ class Compression:
 
     @property
     def survivors(self) -> DataFrame:
-        return self.chosen.join(self.bodies, KEY)
+        return self.chosen.join(self.parts, KEY).join(self.bodies, KEY)
 
     @property
     def texts(self) -> DataFrame:
@@ -119,21 +122,24 @@ def scored_chunks(
     if embedder is not None:
         put = materialise(E.embed(materialise(put, "chunks"), embedder), "embedded")
         similar = D.threshold(provider, d.thresholds, d.similarity)[0]
-    put = K.named(D.keyed(put)).withColumns({"words": T.word_count("text"), "body_words": T.word_count(R.body())})
-    put = N.measured(put, together=together, exact=d.exact, structural=d.structural, min_shape_tokens=d.min_shape_tokens)
+    put = N.measured(K.named(D.keyed(put)), together=together, exact=d.exact, structural=d.structural, min_shape_tokens=d.min_shape_tokens)
     put = materialise(put, "measured", "zstd")
-    bodies = put.select(*KEY, "text")
-    fates = D.deduplicate(put.drop("text"), exact=d.exact, structural=d.structural, similar=similar, min_shape_tokens=d.min_shape_tokens)
+    away = ["text", *CARRIED, *(["template"] if embedder is None else [])]
+    bodies = put.select(*KEY, *away)
+    # All windows of a document find its rows in one place.
+    fates = D.deduplicate(put.drop(*away).repartition("doc_id"), exact=d.exact, structural=d.structural, similar=similar, min_shape_tokens=d.min_shape_tokens)
     fates = materialise(fates, "deduplicated")
     groups = materialise(D.clusters(fates), "clusters")
-    live = fates.where("leader is null").join(
-        groups.select("doc_id", F.col("representative_id").alias("id"), "cluster_id", "absorbed_tokens", F.col("method").alias("_m")), KEY, "left"
-    )
-    live = live.drop("leader", "method", "similarity", "root", "dedup_key", "signature", "label").withColumnRenamed("_m", "method")
+    live = fates.where("leader is null").drop("leader", "method", "similarity", "root", "dedup_key", "signature", "label")
+    mine = groups.select("doc_id", F.col("representative_id").alias("id"), "cluster_id", "absorbed_tokens", "method")
+    # Only those that absorbed others have a cluster to meet.
+    live = live.where("duplicate_count > 1").join(mine, KEY, "left").unionByName(live.where("duplicate_count = 1"), allowMissingColumns=True)
     if not together:
         live = materialise(live.join(bodies, KEY), "survivors")
-    scored = N.score(live, weights=config.density.weights, boost=config.density.frequency_boost)
-    return bodies, fates, groups, materialise(scored.drop("text"), "scored")
+        scored = N.score(live, weights=config.density.weights, boost=config.density.frequency_boost).drop(*away)
+    else:
+        scored = N.score(live, weights=config.density.weights, boost=config.density.frequency_boost)
+    return bodies, fates, groups, materialise(scored, "scored")
 
 
 def choose(scored: DataFrame, originals: DataFrame, config: Config) -> DataFrame:
@@ -167,14 +173,14 @@ def compress(
         originals = materialise(docs.select("doc_id", "name", T.token_count("text").alias("original_tokens")), "originals")
         bodies, fates, groups, scored = scored_chunks(docs, config, query=query, instruction=instruction, embedder=embedder, provider=provider, kind=kind)
         w = config.rewrite
-        chosen = materialise(choose(scored, originals.drop("name"), config), "selected")
+        chosen = materialise(choose(scored.drop("density_parts"), originals.drop("name"), config), "selected")
         rewritten, _, why = rewrite(
             chosen.join(bodies, KEY), generate, enabled=w.enabled, stage_seconds=w.stage_seconds, least=w.min_tokens, limit=w.max_chunks, overlap=w.overlap, numbers=w.numbers
         )
         new = rewritten.select(*KEY, "compressed_text")
         chosen = chosen.withColumn("compressed_text", F.lit(None).cast("string")) if why else chosen.join(new, KEY)
         marks = marks_of(chosen, groups, config)
-    return Compression(docs, originals, fates, groups, chosen, marks, bodies, why, paths)
+    return Compression(docs, originals, fates, groups, chosen, marks, bodies, scored.select(*KEY, "density_parts"), why, paths)
 
 
 def compress_items(items: DataFrame, contexts: DataFrame, **options) -> tuple[DataFrame, Compression]:
