@@ -101,11 +101,14 @@ def _places(text: Column) -> Column:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, runs): the ranges (a, b) of units not blank that an earlier place has, for each document with any."""
     sides = [f"u{n}" for n in range(len(_SIDES))]
-    places = docs.select("doc_id", _text_hash().alias("text_hash"), F.explode(_places(F.col("text"))).alias("p"))
-    places = materialise(places.select("doc_id", "text_hash", F.struct("p.h", "p.m").alias("key"), "p.at", *[f"p.{c}" for c in sides]), "places")
+    # Hashed in a select below, as beside the explode the text would be hashed again for each of its places. The places
+    # aren't a column there: explode would be given a filter on their number, which finds them a second time.
+    found = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    places = found.select("doc_id", "text_hash", F.explode(_places(F.col("text"))).alias("p"))
+    places = materialise(places.select("doc_id", "text_hash", F.struct("p.h", "p.m").alias("key"), "p.at", *[f"p.{c}" for c in sides]), "places", hashes=True)
     several = materialise(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    met = materialise(join_counted(places, several, "key", places.count()), "met")
-    first = materialise(met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "at", *sides)).alias("first")), "firsts")
+    met = materialise(join_counted(places, several, "key", places.count()), "met", hashes=True)
+    first = materialise(met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "at", *sides)).alias("first")), "firsts", hashes=True)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     later = join_counted(met, first, "key", met.count()).where(~same | (F.col("at") >= F.col("first.at") + GRAM))
 

@@ -57,8 +57,12 @@ def path(spark: SparkSession, label: str) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Writes ``df`` there and reads it back: later plans start from the table, and its stages aren't run twice."""
+def materialise(df: DataFrame, label: str, codec: str | None = None, hashes: bool = False) -> DataFrame:
+    """Writes ``df`` there and reads it back: later plans start from the table, and its stages aren't run twice.
+
+    A table of ``hashes`` is written without dictionaries, which few of its values would share.
+    """
     at = path(df.sparkSession, label)
-    df.write.parquet(at, compression=codec)
+    options = {"parquet.enable.dictionary": "false"} if hashes else {}
+    df.write.options(**options).parquet(at, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -67,3 +67,24 @@ def test_documents_leave_a_stream_whole():
         batches = [pa.RecordBatch.from_pydict({"doc_id": ids[i : i + size]}) for i in range(0, len(ids), size)]
         found = [t.column("doc_id").to_pylist() for t in whole(iter([batches[0].slice(0, 0), *batches]))]
         assert sum(found, []) == ids and all(a[-1] != b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_line_dedup_hashes_a_text_once(spark, docs):
+    """The hash of the text stands below the explode of its places, not above it for every place."""
+    import io
+    from contextlib import redirect_stdout
+
+    from terselake.llm import line_dedup as L
+
+    seen, real = [], L.materialise
+    try:
+        L.materialise = lambda df, label, *a, **k: seen.append((label, df)) or real(df, label, *a, **k)
+        L.dedup_lines(docs.select("doc_id", "text")).count()
+    finally:
+        L.materialise = real
+    out = io.StringIO()
+    with redirect_stdout(out):
+        dict(seen)["places"].explain("simple")
+    above = out.getvalue().split("Generate")[0]
+    assert "explode" in out.getvalue() and "octet_length(text" not in above
+    assert "Filter" not in out.getvalue()  # it would find the places a second time
