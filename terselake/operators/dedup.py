@@ -185,6 +185,7 @@ def clusters(chunks: DataFrame) -> DataFrame:
     """A row per root that absorbed others, from chunks with ``root``; cluster ids follow the roots' order."""
     members = chunks.where("leader is not null").groupBy("doc_id", F.col("root").alias("representative_id")).agg(
         F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("m"),
+        F.count("*").alias("n"),
         F.transform(F.sort_array(F.collect_list(F.struct("ord", _known(chunks, "label", label).alias("label")))), lambda x: x["label"]).alias("absorbed_symbols"),
         F.sum("token_count").alias("absorbed_tokens"),
         F.when(F.count_distinct("method") > 1, "mixed").otherwise(F.min("method")).alias("method"),
@@ -201,7 +202,7 @@ def clusters(chunks: DataFrame) -> DataFrame:
         "absorbed_tokens",
         "method",
         "mean_similarity",
-        (F.size("m") + 1).alias("size"),
+        (F.col("n") + 1).cast("int").alias("size"),
     )
 
 

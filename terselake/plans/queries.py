@@ -34,11 +34,19 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one in fewer files than there are cores is spread over them, as a file's row group is one task's work."""
-    found = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+#: A task holds the row group that it reads. Read by ranges, a local file passes through a second buffer of that size.
+BY_PIECES = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A table; one in fewer files than there are cores is spread over them, as a file's row group is one task's work.
+
+    A ``key`` is for tables of large rows: dealt by it, rows pass at once, where dealing them in turn sorts all of a task's.
+    """
+    read = ship(spark).read
+    found = (read if key is None else read.options(**BY_PIECES)).parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return found if len(found.inputFiles()) >= cores else found.repartition(cores)
+    return found if len(found.inputFiles()) >= cores else found.repartition(cores, *([] if key is None else [key]))
 
 
 def r6(c) -> F.Column:
@@ -84,9 +92,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"token_count": T.token_count("text"), **none})
 
 
-def by_source(spark: SparkSession, sf_dir: str, group: str = "source") -> DataFrame:
-    """Documents as chunks of their source, or of another group."""
-    t = table(spark, sf_dir, "documents")
+def by_source(spark: SparkSession, sf_dir: str, group: str = "source", key: str | None = None) -> DataFrame:
+    """Documents as chunks of their source, or of another group; ``key`` as in :func:`table`."""
+    t = table(spark, sf_dir, "documents", key)
     none = {c: F.lit(None).cast(k) for c, k in (("symbol", "string"), ("template", "string"), ("level", "string"))}
     rows = t.select(F.col(group).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("paragraph").alias("kind"), "text")
     return rows.withColumns({"token_count": T.token_count("text"), **none})

@@ -2,8 +2,12 @@
 
 import hashlib
 import io
+import os
+import re
 from contextlib import redirect_stdout
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from terselake.operators import rebuild as R
@@ -56,3 +60,27 @@ def test_metrics_of_languages_gather_no_texts(spark, tmp_path):
         assert found.count() == 2 and "gap" not in plan(found)
     assert "Exchange" in plan(found) and not [x for x in plan(found).splitlines() if "Window" in x and " text#" in x]
     assert Q.R8_rebuild_metrics(spark, str(tmp_path)).agg(F.sum("markers")).first()[0] > 0
+
+
+def direct(spark):
+    """Bytes of the JVM's buffers outside its heap."""
+    pools = spark._jvm.java.lang.management.ManagementFactory
+    return sum(p.getMemoryUsed() for p in pools.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")) if p.getName() == "direct")
+
+
+def test_metrics_hold_a_row_group_once(spark, tmp_path, monkeypatch):
+    """R8 over one file of one row group: its texts are read once, dealt without a sort, and pass through no second buffer of their size."""
+    from terselake.plans import operator_queries as Q
+
+    rows, size = 6000, 4096
+    texts = [os.urandom(size).hex() for _ in range(rows)]
+    table = pa.table({"doc_id": pa.array(range(rows), pa.int64()), "text": texts, "lang": ["en" if i % 2 else "de" for i in range(rows)], "source": ["web"] * rows})
+    pq.write_table(table, tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    plans, keep, before = [], Q.materialise, direct(spark)
+    monkeypatch.setattr(Q, "materialise", lambda df, *a: plans.append(plan(df)) or keep(df, *a))
+    found = Q.R8_rebuild_metrics(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["markers"], r["content_tokens"]) for r in found.collect()}
+    assert got == {g: (0, round(rows / 2 * 1.3)) for g in ("en", "de")}
+    assert direct(spark) - before < rows * size
+    reads = [p for p in [*plans, plan(found)] for _ in re.findall(r"FileScan parquet \[[^]]*\btext#", p)]
+    assert len(reads) == 1 and "hashpartitioning" in reads[0] and "RoundRobin" not in reads[0]
